@@ -2,8 +2,9 @@
 
 from wordloom.llm.decontamination import OP2_SQL, op2_decontamination
 from wordloom.llm.mixing import OP7_SQL, op7_mixing
+from wordloom.llm.near_dedup import OP5_SQL, op5_near_dedup
 from wordloom.llm.quality_rules import OP3_SQL, op3_quality_rules
 from wordloom.llm.token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op6_token_counts, op7_mixing)}
-SQL = {"op2_decontamination": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op5_near_dedup, op6_token_counts, op7_mixing)}
+SQL = {"op2_decontamination": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_near_dedup": OP5_SQL, "op7_mixing": OP7_SQL}
