@@ -45,10 +45,10 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow with batches as dicts of Python lists; fn sees one task's batches in order."""
-    from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else df.sparkSession.createDataFrame([], schema).schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(b.to_pydict() for b in batches):
@@ -57,6 +57,25 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], s
     return df.mapInArrow(run, schema)
 
 
+#: Rows that are broadcast at most, after they are counted.
+BROADCAST_ROWS = 200_000
+
+
+def without(docs: DataFrame, rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """docs without those whose keys (nulls equal) are among rows; keys: column of rows -> expression over docs.
+
+    rows is written and counted: up to BROADCAST_ROWS are broadcast, so that docs need no shuffle; more are joined."""
+    rows = written(rows.select(*(F.col(k).alias(f"__out_{k}") for k in keys)).distinct())
+    n = rows.count()
+    if not n:
+        return docs
+    same = [expr.eqNullSafe(F.col(f"__out_{k}")) for k, expr in keys.items()]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    return docs.join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows, condition, "left_anti")
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

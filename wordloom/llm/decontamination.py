@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,8 @@ WINDOW, BLOCK, BLOCK_BYTES = 13, 8, 1 << 20
 #: bytes.translate table: A-Z to a-z, all that isn't 0-9, a-z or beyond ASCII to a blank.
 NORMAL = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 
+#: Columns of the search, beside the documents' own.
+TEXT, STARTS, ENDS, ITEMS = "__search_text", "__search_starts", "__search_ends", "__search_items"
 #: Pattern groups by least byte length.
 LENGTHS = (48, 24, 12, 8, 4, 1)
 
@@ -118,7 +121,7 @@ def _search(df: DataFrame, items: list[tuple[object, str | None]], window: int)
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         search, owners, lengths, names = compiled.value
         for batch in batches:
-            for k, text in enumerate(batch["text"]):
+            for k, text in enumerate(batch[TEXT]):
                 text = b" " + b" ".join(normal_words(text)) + b" "
                 spans, hit = [], set()
                 for begin, i in search.find(text):
@@ -128,9 +131,9 @@ def _search(df: DataFrame, items: list[tuple[object, str | None]], window: int)
                     blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
                     first = np.searchsorted(blanks, [b for b, _ in spans])
                     for w, (_, n) in zip(first.tolist(), spans):
-                        batch["starts_"][k].append(w)
-                        batch["ends_"][k].append(w + n)
-                    batch["items_"][k] += [names[i] for i in hit]
+                        batch[STARTS][k].append(w)
+                        batch[ENDS][k].append(w + n)
+                    batch[ITEMS][k] += [names[i] for i in hit]
             yield batch
 
     return map_batches(df, run, _ddl(df))
@@ -140,32 +143,59 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
+def merged(starts: list[int], ends: list[int]) -> list[list[int]]:
+    """Disjoint spans of what the given ones cover."""
+    spans: list[list[int]] = []
+    for a, b in sorted(zip(starts, ends)):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    return spans
+
+
+def contaminated(hit: int, n: int) -> bool:
+    return hit > 0 and 20 * hit >= n
+
+
 def _digest(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans")}
-            for doc_id, text, starts, ends, items in zip(batch["doc_id"], batch["text"], batch["starts_"], batch["ends_"], batch["items_"]):
-                n, hit, spans, names = len(normal_words(text)), 0, [], sorted(set(items))
-                for a, b in sorted(zip(starts, ends)):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(b, spans[-1][1])
-                    else:
-                        spans.append([a, b])
+            for doc_id, text, starts, ends, items in zip(batch["doc_id"], batch[TEXT], batch[STARTS], batch[ENDS], batch[ITEMS]):
+                n, spans, names = len(normal_words(text)), merged(starts, ends), sorted(set(items))
                 hit = sum(b - a for a, b in spans)
-                for k, v in zip(out, (doc_id, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 20 * hit >= n, names, spans)):
+                for k, v in zip(out, (doc_id, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), contaminated(hit, n), names, spans)):
                     out[k].append(v)
             yield out
 
     return map_batches(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<array<long>>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, hit_spans (word ranges)."""
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """docs with what one search per block found."""
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    df = docs.select("doc_id", F.col("text").cast("binary").alias("text"), none("long").alias("starts_"), none("long").alias("ends_"), none("string").alias("items_"))
+    df = docs.select("*", F.col("text").cast("binary").alias(TEXT), none("long").alias(STARTS), none("long").alias(ENDS), none("string").alias(ITEMS))
     for items in blocks(benchmark, block_bytes):
         df = _search(df, items, window)
-    return _digest(df)
+    return df
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, hit_spans (word ranges)."""
+    return _digest(_found(docs.select("doc_id", "text"), benchmark, window, block_bytes).drop("text"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            texts, starts, ends, _ = (batch.pop(k) for k in (TEXT, STARTS, ENDS, ITEMS))
+            keep = [not a or not contaminated(sum(y - x for x, y in merged(a, b)), len(normal_words(t))) for t, a, b in zip(texts, starts, ends)]
+            yield {k: list(compress(v, keep)) for k, v in batch.items()}
+
+    return map_batches(_found(docs, benchmark, window, block_bytes), run, _ddl(docs))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

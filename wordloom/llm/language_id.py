@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import LOWER_SPACED, map_batches, table, written
+from wordloom.llm.common import LOWER_SPACED, map_batches, table, without, written
 from wordloom.llm.quality_classifier import chunks, summed_matrix
 
 FEATURES, TEXT_CAP, KAPPA, KEEP, MIN_TRIGRAMS, MAX_LANGUAGES = 1 << 15, 40.0, 20.0, 0.6, 1, 64
@@ -116,11 +116,12 @@ def text_evidence(rows: DataFrame, models: np.ndarray) -> DataFrame:
                 "host": [x[0] for x in places],
                 "domain": [x[1] for x in places],
                 "suffix": [x[2] for x in places],
+                "h": b["h"],
                 "n": n.tolist(),
                 "ll": (total * weight[:, None]).tolist(),
             }
 
-    return map_batches(rows, run, "kind string, id long, declared string, host string, domain string, suffix string, n long, ll array<double>")
+    return map_batches(rows, run, "kind string, id long, declared string, host string, domain string, suffix string, h long, n long, ll array<double>")
 
 
 def _counts(rows: DataFrame, key: str, k: int) -> DataFrame:
@@ -162,6 +163,8 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
         "probability",
         name(F.col("best")).alias("text_language"),
         "declared",
+        "host",
+        "h",
         (F.col("n") >= MIN_TRIGRAMS).alias("has_text"),
     ).withColumn("kept", F.col("has_text") & (F.col("probability") >= KEEP))
 
@@ -169,17 +172,17 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
 def as_rows(docs: DataFrame, kind: str) -> DataFrame:
     null = F.lit(None).cast("string")
     if kind == "page":
-        return docs.select(F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), F.col("html").alias("body"), null.alias("declared"), null.alias("host"), "url")
-    return docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"), F.col("lang").alias("declared"), F.col("source").alias("host"), null.alias("url"))
+        return docs.select(F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), F.xxhash64("html").alias("h"), F.col("html").alias("body"), null.alias("declared"), null.alias("host"), "url")
+    return docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("body"), F.col("lang").alias("declared"), F.col("source").alias("host"), null.alias("url"))
 
 
 def identify(train: DataFrame, *rows: DataFrame) -> DataFrame:
-    """kind, id, language, probability, text_language, declared, has_text, kept of every row. train: documents whose lang
+    """kind, id, language, probability, text_language, declared, host, h (hash of the body), has_text, kept of every row. train: documents whose lang
     names the language of the text model; rows: as_rows() of documents or pages, each fused with its own tables."""
     languages = languages_of(train)
     if not languages:
         null = F.lit(None).cast("string")
-        parts = [r.select("kind", "id", null.alias("language"), F.lit(0.0).alias("probability"), null.alias("text_language"), "declared", F.lit(False).alias("has_text"), F.lit(False).alias("kept")) for r in rows]
+        parts = [r.select("kind", "id", null.alias("language"), F.lit(0.0).alias("probability"), null.alias("text_language"), "declared", "host", "h", F.lit(False).alias("has_text"), F.lit(False).alias("kept")) for r in rows]
     else:
         models = text_models(train, languages)
         parts = [fuse(written(text_evidence(r, models)), languages) for r in rows]
@@ -189,6 +192,12 @@ def identify(train: DataFrame, *rows: DataFrame) -> DataFrame:
     return out
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    found = identify(docs, as_rows(docs, "document")).where(~F.col("kept"))
+    return without(docs, found, {"id": F.col("doc_id"), "h": F.xxhash64("text"), "declared": F.col("lang"), "host": F.col("source")})
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages alike; doc_id is null for pages, page_id for documents."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")

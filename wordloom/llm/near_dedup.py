@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import discard, lower_ascii, table, words, written
+from wordloom.llm.common import discard, lower_ascii, table, without, words, written
 
 #: 18 bands of 5: a pair at Jaccard 0.85 shares none with probability 2.6e-5. 90 coordinates keep the aggregation
 #: within the 100 fields that are compiled.
@@ -32,30 +32,31 @@ STAR_ROUNDS = 3
 
 
 def shingled(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id and the distinct 64-bit hashes of the n-word shingles; of the whole sequence if it has fewer words.
+    """doc_id, h (the text's hash) and the distinct 64-bit hashes of the n-word shingles; of the whole sequence if it has
+    fewer words.
 
     Each step is a column of its own, so that no lambda evaluates an earlier step again for each element."""
-    hashed = docs.select("doc_id", words(lower_ascii(F.col("text"))).alias("ws")).select("doc_id", F.transform("ws", lambda w: F.xxhash64(w)).alias("ws"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), words(lower_ascii(F.col("text"))).alias("ws")).select("doc_id", "h", F.transform("ws", lambda w: F.xxhash64(w)).alias("ws"))
     count = F.greatest(F.size("ws") - (n - 1), F.least(F.size("ws"), F.lit(1)))
     each = F.transform(F.slice("ws", 1, count), lambda w, i: F.xxhash64(w, *(F.get("ws", i + k) for k in range(1, n))))
-    return hashed.select("doc_id", F.array_distinct(each).alias("shingles"))
+    return hashed.select("doc_id", "h", F.array_distinct(each).alias("shingles"))
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles, n and the set's 128-bit fingerprint (h1, h2)."""
-    sets = shingled(docs).select("doc_id", F.sort_array("shingles").alias("shingles"))
-    return sets.select("doc_id", "shingles", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("h1"), F.xxhash64(F.lit(1), "shingles").alias("h2"))
+    """doc_id, h, shingles, n and the set's 128-bit fingerprint (h1, h2)."""
+    sets = shingled(docs).select("doc_id", "h", F.sort_array("shingles").alias("shingles"))
+    return sets.select("doc_id", "h", "shingles", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("h1"), F.xxhash64(F.lit(1), "shingles").alias("h2"))
 
 
 def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per doc_id and set: n, h1, h2, copies (rows that have both) and the band keys k0, k1, ... of the circulant
+    """One row per doc_id and text: h, n, h1, h2, copies (rows that have both) and the band keys k0, k1, ... of the circulant
     MinHash signature (null for the empty set)."""
-    spread = with_sets(docs).select("doc_id", "n", "h1", "h2", F.explode_outer("shingles").alias("h"))
-    spread = spread.withColumn("p", F.col("h").bitwiseAND(F.lit(CIRCLE - 1)))
+    spread = with_sets(docs).select("doc_id", "h", "n", "h1", "h2", F.explode_outer("shingles").alias("s"))
+    spread = spread.withColumn("p", F.col("s").bitwiseAND(F.lit(CIRCLE - 1)))
     coordinate = lambda k: F.min(F.xxhash64((F.col("p") + F.lit(k)).bitwiseAND(F.lit(CIRCLE - 1)))).alias(f"c{k}")
-    signed = spread.groupBy("doc_id", "n", "h1", "h2").agg(F.count(F.lit(1)).alias("elements"), *(coordinate(k) for k in range(bands * rows)))
+    signed = spread.groupBy("doc_id", "h", "n", "h1", "h2").agg(F.count(F.lit(1)).alias("elements"), *(coordinate(k) for k in range(bands * rows)))
     key = lambda b: F.when(F.col("n") > 0, F.xxhash64(F.lit(b), *(F.col(f"c{b * rows + r}") for r in range(rows)))).alias(f"k{b}")
-    return signed.select("doc_id", "n", "h1", "h2", (F.col("elements") / F.greatest("n", F.lit(1))).cast("long").alias("copies"), *map(key, range(bands)))
+    return signed.select("doc_id", "h", "n", "h1", "h2", (F.col("elements") / F.greatest("n", F.lit(1))).cast("long").alias("copies"), *map(key, range(bands)))
 
 
 def classes_of(t: DataFrame, bands: int = BANDS) -> DataFrame:
@@ -123,8 +124,9 @@ def relabelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return buckets.join(roots, "cls", "left").select("key", "cls", "n", F.coalesce("root", "comp").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """One row per doc_id and text hash h: n (set size), copies (rows alike in both), root (of its component; null for the
+    empty set) and component_id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     t = written(banded(docs, bands, rows))
@@ -149,11 +151,30 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     roots = components(edges, spark)
     named = c.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("lead").alias("component_id"))
-    named = named.join(least, "root").select("h1", "h2", "component_id")
-    every = t.where("n > 0").join(named, ["h1", "h2"]).select("doc_id", "n", "copies", "component_id")
-    every = every.union(t.where("n = 0").select("doc_id", "n", "copies", F.col("doc_id").alias("component_id")))
-    every = every.select("doc_id", "n", "component_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = named.join(least, "root").select("h1", "h2", "root", "component_id")
+    linked = t.where("n > 0").join(named, ["h1", "h2"]).select("doc_id", "h", "n", "copies", "root", "component_id")
+    return linked.union(t.where("n = 0").select("doc_id", "h", "n", "copies", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    each = groups(docs, **options).select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each component: the one of least doc_id (null last) and text hash. Rows without words stay."""
+    found = written(groups(docs, **options).where("n > 0"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    first = found.groupBy("root").agg(F.min(rank).alias("first"))
+    member = found.join(first, "root").withColumn("own", rank.eqNullSafe(F.col("first")))
+    rest = without(docs, member.where(~F.col("own")), {"doc_id": F.col("doc_id"), "h": F.xxhash64("text")})
+    repeated = written(member.where("own and copies > 1"))
+    if repeated.isEmpty():
+        return rest
+    single = without(rest, repeated, {"doc_id": F.col("doc_id"), "h": F.xxhash64("text")})
+    several = rest.withColumn("__h", F.xxhash64("text")).join(repeated.select(F.col("doc_id").alias("__id"), F.col("h").alias("__k")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k")), "left_semi")
+    return single.unionByName(several.dropDuplicates(["doc_id", "__h"]).drop("__h"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,23 +250,23 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label: str = "q
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: its columns, held_out_, score_ and predicted_."""
+    """One row per document: its columns, __score, __predicted and __held_out."""
     spark = docs.sparkSession
     vectors = word_vectors(docs)
     model = spark.sparkContext.broadcast((vectors, fit(docs, labels, vectors, label)))
-    own = docs.withColumn("text_", F.col("text").cast("binary")) if "text" in docs.columns else docs
+    own = docs.withColumn("__text", F.col("text").cast("binary"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         v, network = model.value
         for b in batches:
-            text = b.pop("text_")
+            text = b.pop("__text")
             p = network.probability(pooled(text, v)) if text else []
-            yield b | {"score_": [float(x) for x in p], "predicted_": [int(x >= threshold) for x in p]}
+            yield b | {"__score": [float(x) for x in p], "__predicted": [int(x >= threshold) for x in p]}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(own, run, f"{schema}, score_ double, predicted_ int").withColumn("held_out_", crc_bucket(F.col("doc_id"), FOLDS) == HELD)
+    return map_batches(own, run, f"{schema}, __score double, __predicted int").withColumn("__held_out", crc_bucket(F.col("doc_id"), FOLDS) == HELD)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", F.col("held_out_").alias("held_out"), F.col("score_").alias("score"), F.col("predicted_").alias("predicted"))
+    return found.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
