@@ -54,10 +54,13 @@ def main(sf_dir, *names):
 
     spark, con = session(), connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
-    for n in names or queries:
+    for n in names or [q for q in queries if q.startswith("q_")]:
         t = time.time()
         if n in oracle:
-            d = difference(spark, con, sf_dir, queries[n], oracle[n])
+            try:
+                d = difference(spark, con, sf_dir, queries[n], oracle[n])
+            except Exception as e:
+                d = f"{type(e).__name__} {str(e)[:600]}"
             print(f"{'ok  ' if d is None else 'DIFF'} {n} {time.time() - t:.1f}s {d or ''}", flush=True)
         else:
             print(f"rows {n} {queries[n](spark, sf_dir).count()} {time.time() - t:.1f}s", flush=True)

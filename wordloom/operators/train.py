@@ -156,6 +156,15 @@ def perceptron_of(rows: DataFrame) -> PerceptronModel:
     return PerceptronModel(sorted(classes), weights)
 
 
+def _epoch_from(shared):
+    """One epoch over a shard, from the broadcast model on."""
+
+    def fit(t: pa.Table) -> pa.Table:
+        return _weight_table(Perceptron(shared.value).fit([(r["label"], r["features"]) for r in t.to_pylist()], 1))
+
+    return fit
+
+
 def train_perceptron_mixed(instances: DataFrame, shards: int, epochs: int = 10) -> DataFrame:
     """Iterative parameter mixing: each epoch, every shard learns on from the mean of the last epoch's models, in parallel.
     Not equal to the sequential learner."""
@@ -164,12 +173,7 @@ def train_perceptron_mixed(instances: DataFrame, shards: int, epochs: int = 10)
     classes = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]
     model = PerceptronModel(classes)
     for _ in range(epochs):
-        shared = spark.sparkContext.broadcast(model)
-
-        def fit(t: pa.Table, shared=shared) -> pa.Table:
-            return _weight_table(Perceptron(shared.value).fit([(r["label"], r["features"]) for r in t.to_pylist()], 1))
-
-        each = rows.groupBy("g").applyInArrow(fit, "feature string, class string, weight double")
+        each = rows.groupBy("g").applyInArrow(_epoch_from(spark.sparkContext.broadcast(model)), "feature string, class string, weight double")
         model = perceptron_of(each.groupBy("feature", "class").agg((F.sum("weight") / shards).alias("weight")))
     return spark.createDataFrame(_weight_table(model).to_pylist(), "feature string, class string, weight double")
 
