@@ -560,3 +560,20 @@ def q_segment_labels(spark, sf_dir):
     label = T.segment_label(F.col("quality") == 1, F.lit("NOUN"))
     rows = table(spark, sf_dir, "labels").select("doc_id", label.alias("label"))
     return rows.select("doc_id", "label", T.is_boundary(F.col("label")).alias("boundary"), T.label_pos(F.col("label")).alias("pos"))
+
+
+#: Columns of 32 bits, which SQL's counters make wider.
+_INTEGERS = {
+    "pos": ("q_uw_features", "q_bigram_features", "q_type_features", "q_type_bigrams", "q_type_trigrams", "q_wc_features", "q_score_join", "q_extract_boundary", "q_extract_tag_free", "q_extract_tsv", "q_extract_stage1"),
+    "word_no": ("q_token_offsets", "q_gold_tokens", "q_word_features_fast", "q_word_features_balanced", "q_word_features_full", "q_pos_tags"),
+    "line_no": ("q_lines", "q_segment_pointwise", "q_wiki_filter"),
+    "sent_no": ("q_conllu", "q_conllu_spaced_pos"),
+    "sentence_no": ("q_split_sentences",),
+    "start": ("q_segment_relational", "q_token_offsets"),
+    '"end"': ("q_token_offsets",),
+    "n_words": ("q_segment_pointwise",),
+    "total": ("q_lexicon_entries",),
+}
+for _name in {n for names in _INTEGERS.values() for n in names}:
+    _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c, names in _INTEGERS.items() if _name in names)
+    SQL[_name] = f"SELECT * REPLACE ({_casts}) FROM ({SQL[_name]})"
