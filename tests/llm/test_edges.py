@@ -244,3 +244,12 @@ def test_lattice_sums_all_segmentations():
 
     for w in ("ab", "abab", "aé", "ba" * 6, ""):
         assert abs(lattice.word(w) - math.log10(brute("▁" + w))) < 1e-9
+
+
+def test_blocks_of_a_bucket_give_every_pair_once(spark):
+    rows = [(7, k, 10 if k < 30 else 100, k % 5) for k in range(40)] + [(8, 1, 10, 1), (8, 2, 10, 2)]
+    buckets = spark.createDataFrame(rows, "key long, cls long, n long, comp long")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and a[2] == b[2]}
+    for block in (3, 512):
+        got = [tuple(r) for r in near_dedup.cross_pairs(buckets, 85, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

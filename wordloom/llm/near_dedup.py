@@ -28,7 +28,7 @@ from wordloom.llm.common import discard, lower_ascii, table, without, words, wri
 #: within the 100 fields that are compiled.
 BANDS, ROWS, PERCENT, SHINGLE = 18, 5, 85, 3
 CIRCLE = 1 << 32
-STAR_ROUNDS = 3
+STAR_ROUNDS, BLOCK = 3, 512
 
 
 def shingled(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -79,11 +79,18 @@ def star_pairs(buckets: DataFrame, turn: int, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
 
 
-def cross_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of a bucket that lie in different components."""
-    x = lambda s: buckets.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "comp")))
-    pairs = x("a").join(x("b"), "key").where((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & _similar_size("n_a", "n_b", percent))
-    return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+def cross_pairs(buckets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b) of a bucket that lie in different components.
+
+    A bucket of many classes is cut into blocks of about ``block``, and each pair of blocks is a join key of its own, so
+    that no task meets a whole hot bucket."""
+    sizes = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = buckets.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    low = rows.select("key", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), *(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "comp")))
+    high = rows.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"), *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "comp")))
+    once = (F.col("lo") < F.col("hi")) | (F.col("cls_a") < F.col("cls_b"))
+    pairs = low.join(high, ["key", "lo", "hi"]).where(once & (F.col("comp_a") != F.col("comp_b")) & _similar_size("n_a", "n_b", percent))
+    return pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
