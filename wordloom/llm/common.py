@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -43,20 +44,75 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
-    """mapInArrow with batches as dicts of Python lists; fn sees one task's batches in order."""
+#: Rows that are Python objects at a time.
+SLICE = 512
+
+
+def _trim() -> None:
+    """Give a worker's free memory back to the system: workers idle between tasks, beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def _arrays(columns: dict, schema: pa.Schema) -> list[pa.Array]:
+    return [pa.array(columns[f.name], type=f.type) for f in schema]
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
+    """mapInArrow with slices of batches as dicts of Python lists; fn sees one task's slices in order."""
+    arrow = _arrow(schema)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                yield b.slice(at, SLICE).to_pydict()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(b.to_pydict() for b in batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        for out in fn(slices(batches)):
+            yield pa.RecordBatch.from_arrays(_arrays(out, arrow), schema=arrow)
+        _trim()
 
     return df.mapInArrow(run, schema)
 
 
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def extended(df: DataFrame, inputs: list[str], fn: Callable[[dict], dict], schema: str = "", drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with the columns that fn makes of the input columns (strings come as bytes), without those in drop.
+
+    The other columns stay in Arrow and are never Python objects. If fn returns a list under None, it says which rows stay."""
+    kept = [c for c in df.columns if c not in drop]
+    new = _arrow(schema) if schema else pa.schema([])
+    whole = ", ".join(x for x in (ddl(df.select(*(f"`{c}`" for c in kept))), schema) if x)
+    where = {c: i for i, c in enumerate(df.columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                values = {}
+                for c in inputs:
+                    a = part.column(where[c])
+                    values[c] = (a.cast(pa.binary()) if pa.types.is_string(a.type) else a.cast(pa.large_binary()) if pa.types.is_large_string(a.type) else a).to_pylist()
+                out = fn(values)
+                mask = out.pop(None, None)
+                made = pa.RecordBatch.from_arrays([*(part.column(where[c]) for c in kept), *_arrays(out, new)], names=[*kept, *new.names])
+                yield made if mask is None else made.filter(pa.array(mask, pa.bool_()))
+        _trim()
+
+    return df.mapInArrow(run, whole)
+
+
 #: Rows that are broadcast at most, after they are counted.
 BROADCAST_ROWS = 200_000
 

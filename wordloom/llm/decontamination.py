@@ -20,20 +20,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import map_batches, table
+from wordloom.llm.common import extended, table
 
 WINDOW, BLOCK, BLOCK_BYTES = 13, 8, 1 << 20
 #: bytes.translate table: A-Z to a-z, all that isn't 0-9, a-z or beyond ASCII to a blank.
 NORMAL = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 
 #: Columns of the search, beside the documents' own.
-TEXT, STARTS, ENDS, ITEMS = "__search_text", "__search_starts", "__search_ends", "__search_items"
+STARTS, ENDS, ITEMS = "__search_starts", "__search_ends", "__search_items"
 #: Pattern groups by least byte length.
 LENGTHS = (48, 24, 12, 8, 4, 1)
 
@@ -115,32 +114,23 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
         yield part
 
 
-def _search(df: DataFrame, items: list[tuple[object, str | None]], window: int) -> DataFrame:
-    compiled = df.sparkSession.sparkContext.broadcast(compile_items(items, window))
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        search, owners, lengths, names = compiled.value
-        for batch in batches:
-            for k, text in enumerate(batch[TEXT]):
-                text = b" " + b" ".join(normal_words(text)) + b" "
-                spans, hit = [], set()
-                for begin, i in search.find(text):
-                    spans.append((begin, lengths[i]))
-                    hit.update(owners[i])
-                if spans:
-                    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-                    first = np.searchsorted(blanks, [b for b, _ in spans])
-                    for w, (_, n) in zip(first.tolist(), spans):
-                        batch[STARTS][k].append(w)
-                        batch[ENDS][k].append(w + n)
-                    batch[ITEMS][k] += [names[i] for i in hit]
-            yield batch
-
-    return map_batches(df, run, _ddl(df))
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+def _search(compiled: tuple, columns: dict) -> dict:
+    """Adds what one block's search finds to the columns of spans and items."""
+    search, owners, lengths, names = compiled
+    for text, starts, ends, found in zip(columns["text"], columns[STARTS], columns[ENDS], columns[ITEMS]):
+        text = b" " + b" ".join(normal_words(text)) + b" "
+        spans, hit = [], set()
+        for begin, i in search.find(text):
+            spans.append((begin, lengths[i]))
+            hit.update(owners[i])
+        if spans:
+            blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+            first = np.searchsorted(blanks, [b for b, _ in spans])
+            for w, (_, n) in zip(first.tolist(), spans):
+                starts.append(w)
+                ends.append(w + n)
+            found += [names[i] for i in hit]
+    return columns
 
 
 def merged(starts: list[int], ends: list[int]) -> list[list[int]]:
@@ -158,44 +148,46 @@ def contaminated(hit: int, n: int) -> bool:
     return hit > 0 and 20 * hit >= n
 
 
-def _digest(df: DataFrame) -> DataFrame:
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans")}
-            for doc_id, text, starts, ends, items in zip(batch["doc_id"], batch[TEXT], batch[STARTS], batch[ENDS], batch[ITEMS]):
-                n, spans, names = len(normal_words(text)), merged(starts, ends), sorted(set(items))
-                hit = sum(b - a for a, b in spans)
-                for k, v in zip(out, (doc_id, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), contaminated(hit, n), names, spans)):
-                    out[k].append(v)
-            yield out
+def _digest(columns: dict) -> dict:
+    out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans")}
+    for text, starts, ends, items in zip(*(columns[k] for k in ("text", STARTS, ENDS, ITEMS))):
+        n, spans, names = len(normal_words(text)), merged(starts, ends), sorted(set(items))
+        hit = sum(b - a for a, b in spans)
+        for k, v in zip(out, (n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), contaminated(hit, n), names, spans)):
+            out[k].append(v)
+    return out
+
 
-    return map_batches(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<array<long>>")
+def _clean(columns: dict) -> dict:
+    return {None: [not a or not contaminated(sum(y - x for x, y in merged(a, b)), len(normal_words(t))) for t, a, b in zip(columns["text"], columns[STARTS], columns[ENDS])]}
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """docs with what one search per block found."""
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, finish, schema: str) -> DataFrame:
+    """One search per block over all documents, then finish on what they found, in the pass of the last block."""
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    df = docs.select("*", F.col("text").cast("binary").alias(TEXT), none("long").alias(STARTS), none("long").alias(ENDS), none("string").alias(ITEMS))
-    for items in blocks(benchmark, block_bytes):
-        df = _search(df, items, window)
+    df = docs.select("*", none("bigint").alias(STARTS), none("bigint").alias(ENDS), none("string").alias(ITEMS))
+    found = (STARTS, ENDS, ITEMS)
+    parts = list(blocks(benchmark, block_bytes)) or [[]]
+    for k, items in enumerate(parts):
+        compiled = docs.sparkSession.sparkContext.broadcast(compile_items(items, window))
+        if k < len(parts) - 1:
+            df = extended(df, ["text", *found], lambda c, m=compiled: {x: v for x, v in _search(m.value, c).items() if x in found}, f"{STARTS} array<bigint>, {ENDS} array<bigint>, {ITEMS} array<string>", found)
+        else:
+            df = extended(df, ["text", *found], lambda c, m=compiled: finish(_search(m.value, c)), schema, found)
     return df
 
 
+DIGEST = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<array<long>>"
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, hit_spans (word ranges)."""
-    return _digest(_found(docs.select("doc_id", "text"), benchmark, window, block_bytes).drop("text"))
+    return _scan(docs.select("doc_id", "text"), benchmark, window, block_bytes, _digest, DIGEST).drop("text")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            texts, starts, ends, _ = (batch.pop(k) for k in (TEXT, STARTS, ENDS, ITEMS))
-            keep = [not a or not contaminated(sum(y - x for x, y in merged(a, b)), len(normal_words(t))) for t, a, b in zip(texts, starts, ends)]
-            yield {k: list(compress(v, keep)) for k, v in batch.items()}
-
-    return map_batches(_found(docs, benchmark, window, block_bytes), run, _ddl(docs))
+    return _scan(docs, benchmark, window, block_bytes, _clean, "")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import crc_bucket, map_batches, table
+from wordloom.llm.common import crc_bucket, extended, map_batches, table
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 48, 2, 2
 SAMPLE, HIDDEN, EPOCHS, BATCH, RATE, THRESHOLD, SEED = 20_000, 32, 40, 128, 3e-3, 0.7, 7
 FOLDS, HELD = 4, 2
-CHUNK, SHRINK = 1 << 20, 8
+CHUNK, SHRINK = 1 << 18, 8
 #: Kinds of bytes: 0 white space, 1 letter (all beyond ASCII), 2 digit, 3 mark.
 KIND = np.array([0 if i == 32 or 9 <= i <= 13 else 1 if chr(i).isalpha() or i > 127 else 2 if chr(i).isdigit() else 3 for i in range(256)], np.uint8)
 _ODD = 0x9E3779B97F4A7C15
@@ -254,17 +254,14 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     spark = docs.sparkSession
     vectors = word_vectors(docs)
     model = spark.sparkContext.broadcast((vectors, fit(docs, labels, vectors, label)))
-    own = docs.withColumn("__text", F.col("text").cast("binary"))
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def run(columns: dict) -> dict:
         v, network = model.value
-        for b in batches:
-            text = b.pop("__text")
-            p = network.probability(pooled(text, v)) if text else []
-            yield b | {"__score": [float(x) for x in p], "__predicted": [int(x >= threshold) for x in p]}
+        p = network.probability(pooled(columns["text"], v)) if columns["text"] else []
+        return {"__score": [float(x) for x in p], "__predicted": [int(x >= threshold) for x in p]}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(own, run, f"{schema}, __score double, __predicted int").withColumn("__held_out", crc_bucket(F.col("doc_id"), FOLDS) == HELD)
+    scored = extended(docs, ["text"], run, "__score double, __predicted int")
+    return scored.withColumn("__held_out", crc_bucket(F.col("doc_id"), FOLDS) == HELD)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
