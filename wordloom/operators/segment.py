@@ -288,9 +288,7 @@ def features(language: str) -> Column:
 
 
 def scores(rows: DataFrame, model: StumpModel, language: str, *keys: str) -> DataFrame:
-    """Score of every position after the first by joins with the broadcast model: keys, pos, ch, score.
-
-    Weights are pivoted first, so that the templates of a family with one kind of key share a join."""
+    """Score of every position after the first by a join a template with the broadcast model: keys, pos, ch, score."""
     from wordloom.sources.models import weights_frame
 
     templates = [k for k in boundary_templates(language, tag_free=True) if any(f.startswith(f"{k}:") for f in model.weights)]
@@ -304,6 +302,51 @@ def scores(rows: DataFrame, model: StumpModel, language: str, *keys: str) -> Dat
     return out.select(*keys, "pos", "ch", total.alias("score"))
 
 
+#: Families whose templates have keys of one kind: templates, key as characters or types, its length.
+MERGED = {"UW": (6, "ch", 1), "BW": (3, "ch", 2), "UC": (6, "ctype", 1), "BC": (3, "ctype", 2), "TC": (4, "ctype", 3)}
+
+
+def merged_weights(spark, model: StumpModel, family: str) -> DataFrame:
+    """(key, weights of the family's templates) of every key with a weight."""
+    n, rows = MERGED[family][0], {}
+    for f, w in model.weights.items():
+        name, colon, value = f.partition(":")
+        if colon and name[:2] == family and name[2:].isdigit() and 1 <= int(name[2:]) <= n:
+            rows.setdefault(value, [0.0] * n)[int(name[2:]) - 1] = w
+    return spark.createDataFrame(list(rows.items()), f"k{family} string, x{family} array<double>")
+
+
+def merged_scores(df: DataFrame, line: Column, model: StumpModel, language: str, *keys: str) -> DataFrame:
+    """The same scores from lines with one join a family: a key's row holds the weights for all places it can have in the
+    window, and each position gathers its element from its neighbours' rows."""
+    language, spark = parse_language(language), df.sparkSession
+    pad = lambda names: F.array(*map(F.lit, names))
+    cells = df.select(*keys, chars(line).alias("_s")).where(F.size("_s") > 0)
+    cells = cells.select(*keys, F.size("_s").alias("_n"), F.posexplode(F.concat(pad(BEGIN), F.col("_s"), pad(END))).alias("_q", "ch"))
+    real = (F.col("_q") >= 3) & (F.col("_q") < F.col("_n") + 3)
+    cells = cells.withColumn("ctype", F.when(real, char_type("ch", language)).otherwise("O"))
+    w = Window.partitionBy(*keys).orderBy("_q")
+    for family, (_, column, length) in MERGED.items():
+        cells = cells.withColumn(f"_{family}", F.concat(F.col(column), *(F.lead(column, k).over(w) for k in range(1, length))))
+    for family in MERGED:
+        own = F.broadcast(merged_weights(spark, model, family))  # at most the model file
+        cells = cells.join(own, F.col(f"_{family}") == F.col(f"k{family}"), "left")
+    total = F.lit(model.bias)
+    for family, (n, _, length) in MERGED.items():
+        first = -3 if length in (1, 3) else -2
+        for k in range(n):
+            at = first + k
+            row = F.lag(f"x{family}", -at).over(w) if at < 0 else F.lead(f"x{family}", at).over(w) if at else F.col(f"x{family}")
+            total = total + F.coalesce(F.get(row, F.lit(k)), F.lit(0.0))
+    mixed = [k for k in boundary_templates(language, tag_free=True) if k.startswith("WC") and any(f.startswith(f"{k}:") for f in model.weights)]
+    place = {"w2": F.lag("ch").over(w), "c2": F.lag("ctype").over(w), "w3": F.col("ch"), "c3": F.col("ctype")}
+    out = cells.select(*keys, (F.col("_q") - 3).alias("pos"), "ch", "_n", total.alias("score"), *(F.concat(*(place[s] for s in BOUNDARY[k])).alias(f"_{k}") for k in mixed))
+    for k in mixed:
+        own = [(f[len(k) + 1 :], w_) for f, w_ in model.weights.items() if f.startswith(f"{k}:")]
+        out = out.join(F.broadcast(spark.createDataFrame(own, f"v{k} string, x{k} double")), F.col(f"_{k}") == F.col(f"v{k}"), "left").withColumn("score", F.col("score") + F.coalesce(f"x{k}", F.lit(0.0)))
+    return out.where((F.col("pos") > 0) & (F.col("pos") < F.col("_n"))).select(*keys, "pos", "ch", "score")
+
+
 def words_of(rows: DataFrame, scored: DataFrame, *keys: str) -> DataFrame:
     """Words from boundary decisions: keys, word_no, start, word."""
     marks = rows.select(*keys, "pos", "ch").join(scored.select(*keys, "pos", "score"), [*keys, "pos"], "left")

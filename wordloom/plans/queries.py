@@ -138,6 +138,20 @@ def q_score_join(spark, sf_dir):
     return segment.scores(rows, samples.POINTWISE, "english", "p_partkey")
 
 
+def _merged(language, name):
+    model = samples.POINTWISE if language == "english" else samples.JAPANESE
+
+    def run(spark, sf_dir):
+        return segment.merged_scores(_names(spark, sf_dir), F.concat("p_name", F.lit(samples.CJK)), model, language, "p_partkey")
+
+    source = f"(SELECT p_partkey, p_name || {quoted(samples.CJK)} AS p_name FROM part)"
+    query(f"SELECT p_partkey, CAST(pos AS INTEGER) AS pos, ch, CAST({score_sql(model, language)} AS DOUBLE) AS score FROM {window_sql(chars_sql(source, 'p_partkey', 'p_name', language), 'p_partkey')} WHERE pos > 0", name)(run)
+
+
+_merged("english", "q_score_merged")
+_merged("japanese", "q_score_merged_japanese")
+
+
 @query(f"SELECT p_partkey, CAST(word_no + 1 AS BIGINT) AS word_no, start, word FROM {words_sql('part', 'p_partkey', 'p_name', samples.POINTWISE)}")
 def q_segment_relational(spark, sf_dir):
     rows = segment.char_rows(_names(spark, sf_dir), F.col("p_name"), "english", "p_partkey")

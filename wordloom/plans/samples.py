@@ -36,6 +36,8 @@ TAGGED = model(
     BQ2={"OAA": -1},
     TQ4={"OAAA": 1, "BAAA": -1},
 )
+#: Japanese, pointwise, with mixed templates and sentinels.
+JAPANESE = model(-1, UW3={"は": 3, "B1": 1}, UW6={"E1": 2}, UC4={"H": 2, "I": 1}, BC2={"II": -2, "KK": -3, "HH": -1}, TC1={"OOI": 1}, BW3={"スト": 2}, WC1={"はK": 3, "aA": -1}, WC2={"Iで": 2, "AＡ": 1}, WC3={"。P": 4}, WC4={"漢H": 2, "éO": -2})
 LEXICON = {"red": [("NOUN", 1), ("ADJ", 3)], "blue": [("ADJ", 4)], " ": [("X", 9)], "small": [("ADJ", 99), ("NOUN", 1)], "steel": [("NOUN", 2), ("VERB", 1)], "brass": [("INTJ", 1), ("SYM", 1)]}
 CLASSIFIER = PerceptronModel(
     ["ADJ", "NOUN", "PROPN", "VERB"],
