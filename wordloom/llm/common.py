@@ -45,7 +45,7 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
 
 
 #: Rows that are Python objects at a time.
-SLICE = 512
+SLICE, BATCH_BYTES = 512, 8 << 20
 
 
 def _trim() -> None:
@@ -55,6 +55,14 @@ def _trim() -> None:
         libc.malloc_trim(0)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most SLICE rows and BATCH_BYTES, where the session leaves Spark's defaults: long texts otherwise
+    make batches of tens of MB, each held by the JVM and by a worker, both ways."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, SLICE), ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, BATCH_BYTES)):
+        if spark.conf.isModifiable(key) and (now := spark.conf.get(key).rstrip("b")).isdigit() and int(now) >= default:
+            spark.conf.set(key, str(value))
+
+
 def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -69,6 +77,7 @@ def _arrays(columns: dict, schema: pa.Schema) -> list[pa.Array]:
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow with slices of batches as dicts of Python lists; fn sees one task's slices in order."""
     arrow = _arrow(schema)
+    _small_batches(df.sparkSession)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -95,6 +104,7 @@ def extended(df: DataFrame, inputs: list[str], fn: Callable[[dict], dict], schem
     new = _arrow(schema) if schema else pa.schema([])
     whole = ", ".join(x for x in (ddl(df.select(*(f"`{c}`" for c in kept))), schema) if x)
     where = {c: i for i, c in enumerate(df.columns)}
+    _small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
