@@ -2,11 +2,13 @@
 
 A page becomes a WARC/1.0 response record. Records lie in segments (one archive file each) in the order of their
 digests; a segment's records, with their offset ranges, are the leaves of a tree whose inner nodes hash the digests
-of FANOUT children in order, and whose root stands for the whole segment. To audit a replica, roots are compared
-first and only the children of nodes that differ are compared on the next level, down to single records.
+of FANOUT children in order, and whose root stands for the whole segment. A leaf's place in the tree follows from its
+digest, not from its place in the file, so that archive and replica stay aligned where records are lost or inserted.
+To audit a replica, roots are compared first and only the children of nodes that differ are compared on the next
+level, down to single records and their offset ranges.
 
 A segment is a prefix of the digest, so records spread evenly, whatever the pages; segments grow in number, not in
-size, and a node never holds more than FANOUT children.
+size, an inner node never holds more than FANOUT children, and a level-0 node holds one record on average.
 
 Defined results: null url or html is written as empty, a null page_id as an empty id; identical pages are separate
 records; an empty table has no segments and no damage; a record that a replica lacks is damaged. Other columns are
@@ -51,21 +53,6 @@ def manifest(recs: DataFrame, segment_records: int = SEGMENT_RECORDS) -> DataFra
     return written(placed.select("page_id", "segment", (F.row_number().over(order) - 1).cast("long").alias("seq"), offset.cast("long").alias("offset"), "length", "digest"))
 
 
-def tree(leaves: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
-    """(segment, seq, offset, length, digest) -> nodes (segment, level, idx, start, end, digest), levels 0 to depth."""
-    level = leaves.select("segment", F.lit(0).alias("level"), F.col("seq").alias("idx"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "digest")
-    nodes = level
-    for k in range(1, depth + 1):
-        children = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "digest", "start", "end"))), lambda c: F.concat_ws(":", c["digest"], c["start"], c["end"])), ",")
-        level = (
-            level.groupBy("segment", F.floor(F.col("idx") / fanout).cast("long").alias("parent"))
-            .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(children.cast("binary"), 256).alias("digest"))
-            .select("segment", F.lit(k).alias("level"), F.col("parent").alias("idx"), "start", "end", "digest")
-        )
-        nodes = nodes.unionByName(level)
-    return nodes
-
-
 def depth_of(leaves: DataFrame, fanout: int = FANOUT) -> int:
     """Levels that bring the longest segment to one root."""
     n, depth = leaves.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1, 0
@@ -74,8 +61,36 @@ def depth_of(leaves: DataFrame, fanout: int = FANOUT) -> int:
     return depth
 
 
+def keyed(leaves: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
+    """(segment, seq, offset, length, digest) -> with copy (number among equal records of the segment), start, end and
+    slot, the level-0 node: drawn from the digest and the copy, so that a record has the same slot wherever it lies."""
+    copy = (F.row_number().over(Window.partitionBy("segment", "digest").orderBy("offset", "seq")) - 1).cast("long")
+    key = F.when(F.col("copy") == 0, F.col("digest")).otherwise(F.sha2(F.concat_ws(":", "digest", "copy").cast("binary"), 256))
+    slot = F.shiftright(F.conv(F.substring(key, 9, 8), 16, 10).cast("long") * F.lit(fanout**depth), 32)
+    return leaves.withColumn("copy", copy).withColumn("slot", slot).withColumn("start", F.col("offset")).withColumn("end", F.col("offset") + F.col("length"))
+
+
+def _hashed(*fields: str) -> Column:
+    """One hash of a group's rows in the order of the fields."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(*fields))), lambda c: F.concat_ws(":", *(c[f] for f in fields)))
+    return F.sha2(F.array_join(rows, ",").cast("binary"), 256).alias("digest")
+
+
+def tree(leaves: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
+    """keyed() leaves -> nodes (segment, level, idx, start, end, digest), levels 0 to depth. A level-0 node hashes the
+    digests and offset ranges of its records, the others those of their children."""
+    level = leaves.groupBy("segment", F.col("slot").alias("idx")).agg(F.min("start").alias("s"), F.max("end").alias("e"), _hashed("digest", "start", "end"))
+    level = level.select("segment", F.lit(0).alias("level"), "idx", F.col("s").alias("start"), F.col("e").alias("end"), "digest")
+    nodes = level
+    for k in range(1, depth + 1):
+        level = level.groupBy("segment", F.floor(F.col("idx") / fanout).cast("long").alias("parent")).agg(F.min("start").alias("s"), F.max("end").alias("e"), _hashed("idx", "digest", "start", "end"))
+        level = level.select("segment", F.lit(k).alias("level"), F.col("parent").alias("idx"), F.col("s").alias("start"), F.col("e").alias("end"), "digest")
+        nodes = nodes.unionByName(level)
+    return nodes
+
+
 def differing(a: DataFrame, b: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
-    """Leaves (segment, idx) in which two trees differ, found from the roots down."""
+    """Level-0 nodes (segment, slot) in which two trees differ, found from the roots down."""
     suspects = None
     for k in range(depth, -1, -1):
         x, y = a.where(F.col("level") == k), b.where(F.col("level") == k)
@@ -84,15 +99,72 @@ def differing(a: DataFrame, b: DataFrame, depth: int, fanout: int = FANOUT) -> D
             x, y = below(x), below(y)
         both = x.select("segment", "idx", F.col("digest").alias("one")).join(y.select("segment", "idx", F.col("digest").alias("two")), ["segment", "idx"], "full")
         suspects = both.where(~F.col("one").eqNullSafe(F.col("two"))).select("segment", F.col("idx").alias("parent"))
-    return suspects.withColumnRenamed("parent", "idx")
+    return suspects.withColumnRenamed("parent", "slot")
 
 
-def audit(own: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The manifest's rows with intact: whether the replica's leaf (segment, seq, offset, length, digest) is the same."""
+def _out_of_order(matched: DataFrame) -> DataFrame:
+    """(segment, digest, copy, start, start2) -> keys of the records off a longest run that keeps its order in both.
+    Only segments with an inversion are looked at, each in one task."""
+    so_far = F.max("start2").over(Window.partitionBy("segment").orderBy("start", "digest", "copy").rowsBetween(Window.unboundedPreceding, -1))
+    mixed = matched.withColumn("so_far", so_far).where("start2 < so_far").select("segment").distinct()
+
+    def run(rows):
+        from bisect import bisect_left
+
+        import numpy as np
+        import pyarrow as pa
+
+        rows = rows.sort_by([("start", "ascending"), ("digest", "ascending"), ("copy", "ascending")])
+        ends, last, before = [], [], []
+        for i, x in enumerate(rows["start2"].to_pylist()):
+            k = bisect_left(ends, x)
+            before.append(last[k - 1] if k else -1)
+            ends[k : k + 1], last[k : k + 1] = [x], [i]
+        off, i = np.ones(len(before), bool), last[-1]
+        while i >= 0:
+            off[i], i = False, before[i]
+        return rows.select(["segment", "digest", "copy"]).filter(pa.array(off))
+
+    return matched.join(mixed, "segment", "left_semi").groupBy("segment").applyInArrow(run, "segment string, digest string, copy long")
+
+
+def compare(own: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """page_id, segment, seq, offset, length, digest, state of every leaf of the manifest, and of those that only the
+    replica (segment, seq, offset, length, digest) has, with its places and no page_id.
+
+    Leaves are aligned by their digests. state: intact; lost (not in the replica's segment); inserted (in the replica
+    alone; changed bytes are a lost and an inserted record); moved (the right bytes with another length, or at an offset
+    that lost, inserted and reordered records before it don't account for)."""
     depth = depth_of(own, fanout)
-    a, b = written(tree(own, depth, fanout)), written(tree(replica, depth, fanout))
-    bad = differing(a, b, depth, fanout).select("segment", F.col("idx").alias("seq"), F.lit(False).alias("ok"))
-    return own.join(bad, ["segment", "seq"], "left").select("page_id", "segment", "seq", "offset", "length", "digest", F.coalesce("ok", F.lit(True)).alias("intact"))
+    a, b = written(keyed(own, depth, fanout)), written(keyed(replica, depth, fanout))
+    bad = written(differing(written(tree(a, depth, fanout)), written(tree(b, depth, fanout)), depth, fanout))
+    x = a.join(bad, ["segment", "slot"], "left_semi").select("segment", "digest", "copy", "seq", "start", "length")
+    y = b.join(bad, ["segment", "slot"], "left_semi").select("segment", "digest", "copy", *(F.col(c).alias(f"{c}2") for c in ("seq", "start", "length")))
+    both = written(x.join(y, ["segment", "digest", "copy"], "full"))
+    moved = written(_out_of_order(both.where("start is not null and start2 is not null").select("segment", "digest", "copy", "start", "start2")))
+    both = both.join(moved.withColumn("off", F.lit(True)), ["segment", "digest", "copy"], "left").withColumn("off", F.coalesce("off", F.lit(False)))
+
+    def shift(gone: Column, come: Column) -> Column:
+        before = lambda c: Window.partitionBy("segment").orderBy(c, "digest", "copy").rowsBetween(Window.unboundedPreceding, -1)
+        part = lambda when, n, at: F.coalesce(F.sum(F.when(when, F.col(n))).over(before(at)), F.lit(0))
+        return part(come, "length2", "start2") - part(gone, "length", "start")
+
+    lost, inserted = F.col("start2").isNull(), F.col("start").isNull()
+    both = both.withColumn("shift", shift(lost, inserted)).withColumn("shift_off", shift(lost | F.col("off"), inserted | F.col("off")))
+    by = F.col("start2") - F.col("start")
+    fits = (F.col("length") == F.col("length2")) & ((by == 0) | (~F.col("off") & ((by == F.col("shift")) | (by == F.col("shift_off")))))
+    state = F.when(inserted, "inserted").when(lost, "lost").when(fits, "intact").otherwise("moved")
+    both = written(both.select("segment", "seq", "digest", F.col("seq2"), F.col("start2"), F.col("length2"), state.alias("state")))
+    found = own.join(both.where("seq is not null").select("segment", "seq", "state"), ["segment", "seq"], "left")
+    found = found.select("page_id", "segment", "seq", "offset", "length", "digest", F.coalesce("state", F.lit("intact")).alias("state"))
+    null = F.lit(None).cast(own.schema["page_id"].dataType)
+    return found.unionByName(both.where("state = 'inserted'").select(null.alias("page_id"), "segment", F.col("seq2").alias("seq"), F.col("start2").alias("offset"), F.col("length2").alias("length"), "digest", "state"))
+
+
+def audit(own: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """The manifest's rows with intact: whether compare() finds the record whole and in its place in the replica."""
+    found = compare(own, replica, fanout).where("state <> 'inserted'")
+    return found.select("page_id", "segment", "seq", "offset", "length", "digest", (F.col("state") == "intact").alias("intact"))
 
 
 def write_warc(recs: DataFrame, man: DataFrame, path: str) -> int:
