@@ -34,3 +34,16 @@ def test_offset_ranges_and_inserted_records_are_audited(spark):
     hurt = own[:5] + own[6:9] + [("f" * 64, 11)] + own[10:30] + own[5:6] + own[30:40] + own[41:]
     states = {(r.page_id, r.seq, r.state) for r in warc.compare(man, laid(hurt)).collect() if r.state != "intact"}
     assert states == {(rows[5].page_id, 5, "moved"), (rows[9].page_id, 9, "lost"), (None, 8, "inserted"), (rows[40].page_id, 40, "lost")}
+
+
+def test_drill_hashes_the_bytes_of_a_copy(spark):
+    """Each kind of damage is there, read from bytes, and none condemns a whole record."""
+    recs, man = archive(spark, 3000, 4096)
+    first = recs.withColumn("record", F.concat("record", F.lit("changed")))
+    assert {r.digest for r in warc.damaged_copy(first, man).collect()}.isdisjoint({r.digest for r in man.collect()})
+    found = warc.compare(man, warc.damaged_copy(recs, man)).collect()
+    own = [r for r in found if r.page_id is not None]
+    assert len(own) == 3000 and all((r.state == "lost") == (r.digest[:2] in ("00", "01")) and r.state in ("lost", "intact") for r in own)
+    extra = [r for r in found if r.page_id is None]
+    inserted = sum(r.digest[:3] < "024" and r.digest[:2] == "02" for r in own)
+    assert inserted and len(extra) == inserted + sum(r.digest < "01" or "018" <= r.digest < "02" for r in own)

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import map_batches, table, written
+from wordloom.llm.common import discard, map_batches, table, written
 from wordloom.llm.mixing import hash_digits
 
 FANOUT, SEGMENT_RECORDS = 16, 4096
@@ -220,13 +220,38 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def damaged_copy(recs: DataFrame, man: DataFrame) -> DataFrame:
-    """A replica's leaves for the drill: records whose digest begins with 00 have one more byte hashed, those with 01 are lost."""
-    digest = F.when(F.col("digest").startswith("00"), F.sha2(F.concat("digest", F.lit("!")).cast("binary"), 256)).otherwise(F.col("digest"))
-    return man.where(~F.col("digest").startswith("01")).select("segment", "seq", "offset", "length", digest.alias("digest"))
+    """Leaves of a replica with known damage, for the drill: the bytes of all records are written anew with the damage,
+    read again, and hashed and placed from what was read; the manifest gives only the segments' prefix length.
+
+    By the first three digits of a record's digest: 000-007 have their first byte changed, 008-00f are a byte longer,
+    010-017 are lost, 018-01f lie in another segment; before those with 020-023 a record is inserted that the archive
+    lacks. All others are whole, but lie elsewhere where damage before them moves them."""
+    digits = man.agg(F.coalesce(F.max(F.length("segment")), F.lit(0))).first()[0]
+    d, text = F.col("digest"), F.col("record")
+    segment = F.substring(d, 1, digits) if digits else F.lit("")
+    beside = F.concat(F.substring(d, 1, digits - 1), F.translate(F.substring(d, digits, 1), "0123456789abcdef", "123456789abcdef0")) if digits else F.lit("stray")
+    one = lambda data, place=segment, turn=1: F.struct(place.alias("segment"), F.lit(turn).alias("turn"), data.cast("binary").alias("data"))
+    copies = (
+        F.when(d < "008", F.array(one(F.concat(F.lit("w"), F.substring(text, 2, 1 << 30)))))
+        .when(d < "01", F.array(one(F.concat(text, F.lit("!")))))
+        .when(d < "018", F.slice(F.array(one(text)), 1, 0))
+        .when(d < "02", F.array(one(text, beside)))
+        .when(d < "024", F.array(one(F.concat(F.lit("WARC/1.1"), F.substring(text, 9, 1 << 30)), turn=0), one(text)))
+        .otherwise(F.array(one(text)))
+    )
+    laid = recs.withColumn("digest", F.sha2(text.cast("binary"), 256)).select("page_id", "digest", F.explode(copies).alias("copy"))
+    laid = written(laid.select("copy.*", F.struct("digest", "page_id", "copy.turn").alias("place")))
+    leaves = laid.select("segment", "place", F.octet_length("data").cast("long").alias("length"), F.sha2("data", 256).alias("digest"))
+    order = Window.partitionBy("segment").orderBy("place")
+    offset = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    leaves = written(leaves.select("segment", (F.row_number().over(order) - 1).cast("long").alias("seq"), offset.alias("offset"), "length", "digest"))
+    discard(laid)
+    return leaves
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixity drill: the archive of all pages against a copy with known damage."""
+    """Fixity drill: the archive of all pages against a written copy with known damage. The manifest's rows; what only
+    the copy has is in compare()."""
     recs = records(table(spark, sf_dir, "pages"))
     man = manifest(recs)
     return audit(man, damaged_copy(recs, man))
