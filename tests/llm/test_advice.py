@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import warc
+from wordloom.llm import mixing, warc
 
 LEAF = ("segment", "seq", "offset", "length", "digest")
 
@@ -47,3 +47,24 @@ def test_drill_hashes_the_bytes_of_a_copy(spark):
     extra = [r for r in found if r.page_id is None]
     inserted = sum(r.digest[:3] < "024" and r.digest[:2] == "02" for r in own)
     assert inserted and len(extra) == inserted + sum(r.digest < "01" or "018" <= r.digest < "02" for r in own)
+
+
+def test_every_epoch_has_a_training_position(spark):
+    docs = spark.createDataFrame([(3 * k + s, "w " * (1 + k % 4), f"s{s}") for s in range(3) for k in range(40)] + [(999, None, "s2")], "doc_id long, text string, source string")
+    rows, folded = mixing.training_order(docs).collect(), {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert len(folded) == docs.count() and [r.position for r in rows] == sorted(r.position for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    for d, r in folded.items():
+        mine = by.get(d, [])
+        assert r.taken == sum(x.taken for x in mine) and r.positions == [x.position for x in mine] and r.position == (mine[0].position if mine else None)
+    # The heaviest source: its stream runs over the epochs without a gap up to its target, along its schedule.
+    heavy = [r for r in rows if r.doc_id % 3 == 2]
+    assert {r.epoch for r in heavy} == {0, 1} and abs(sum(r.taken for r in heavy) - heavy[0].target) <= 1
+    at = 0
+    for r in heavy:
+        share = 0.5 * r.position + 0.5 * r.position**2  # the integral of 1 + 0.5 * (2t - 1)
+        assert abs(share - at / r.target) < 1e-6
+        at += r.taken
+    assert max(r.position for r in heavy) > 0.97

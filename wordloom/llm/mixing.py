@@ -2,7 +2,8 @@
 
 Each source has a demand in words (its target) and a weight schedule over training time t in [0, 1]. The integral
 of the schedule is the source's cumulative demand; inverting it turns a document's place in its source's word
-stream into a training position, and a range sort by position gives the training order.
+stream into a training position, one for each epoch that takes words of it, and a range sort by position gives the
+training order.
 
 Documents are streamed epoch by epoch in the order of a hash of their id and text until the target is met; the
 last document is taken in part. Prefix sums are computed in two levels (hash prefix, then inside the prefix), so
@@ -67,9 +68,9 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), h.alias("h"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position (of its first word taken; null if none
-    is), sorted by position."""
+def _epochs(docs: DataFrame, weights: tuple[int, ...], cap: int, group_rows: int) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, places: (epoch, taken, position) of each epoch of its
+    source's stream that takes words of it."""
     base = written(sized(docs))
     digits = hash_digits(base.count(), group_rows)
     base = base.withColumn("part", F.substring("h", 1, digits) if digits else F.lit(""))
@@ -83,19 +84,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, gro
     placed = placed.alias("d").join(parts.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.part") == F.col("p.part")))
     start = F.col("part_start") + F.col("inner")
     want = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = want - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return (
-        placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), start.alias("start"), "slope")
-        .withColumn("position", F.when(F.col("taken") > 0, F.round(invert_demand(F.col("start") / F.col("target"), F.col("slope")), 9)))
-        .select("doc_id", "size", "source_size", "target", "taken", "position")
-        .orderBy(F.col("position").asc_nulls_last(), "doc_id")
-    )
+    last = F.when(F.col("source_size") > 0, F.floor(F.col("want") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+
+    def place(epoch: Column) -> Column:
+        at = F.col("start") + epoch * F.col("source_size")
+        taken = F.greatest(F.lit(0), F.least(F.col("size"), F.col("want") - at)).cast("long")
+        position = F.when(taken > 0, F.round(invert_demand(at / F.col("target"), F.col("slope")), 9))
+        return F.struct(epoch.alias("epoch"), taken.alias("taken"), position.alias("position"))
+
+    places = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), last), place), lambda p: p["taken"] > 0)
+    placed = placed.select("doc_id", "size", "source_size", "target", start.alias("start"), want.alias("want"), "slope")
+    return placed.select("doc_id", "size", "source_size", "target", places.alias("places"))
+
+
+def training_order(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row per document and epoch that takes words of it: doc_id, epoch, size, source_size, target, taken (in that
+    epoch), position, sorted by position."""
+    each = _epochs(docs, weights, cap, group_rows).withColumn("place", F.explode("places"))
+    return each.select("doc_id", "place.epoch", "size", "source_size", "target", "place.taken", "place.position").orderBy("position", "doc_id", "epoch")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """training_order() folded to one row per document: doc_id, size, source_size, target, taken (in all epochs),
+    position (the first; null if nothing is taken), positions (by epoch), sorted by position."""
+    folded = _epochs(docs, weights, cap, group_rows)
+    taken = F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["taken"])
+    positions = F.col("places")["position"]
+    return folded.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.get(positions, F.lit(0)).alias("position"), positions.alias("positions")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    """mix() in the columns of the SQL twin, which has the first position only."""
+    return mix(table(spark, sf_dir, "documents")).drop("positions")
 
 
 OP7_SQL = r"""
