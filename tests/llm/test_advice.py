@@ -1,8 +1,11 @@
 """Whole jobs of the operators: cases that earlier forms left out."""
 
+import textwrap
+
+import pytest
 from pyspark.sql import functions as F
 
-from wordloom.llm import mixing, warc
+from wordloom.llm import licenses, mixing, warc
 
 LEAF = ("segment", "seq", "offset", "length", "digest")
 
@@ -68,3 +71,40 @@ def test_every_epoch_has_a_training_position(spark):
         assert abs(share - at / r.target) < 1e-6
         at += r.taken
     assert max(r.position for r in heavy) > 0.97
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+"""
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.\n"
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", ";; ", "dnl "])
+@pytest.mark.parametrize("width", [40, 72, 10_000])
+def test_wrapped_licence_texts(mark, width):
+    scanner = licenses.Scanner(licenses.SENTENCES, licenses.RULES, licenses.MAX_GAP)
+    for text, want in ((MIT, ("mit-full", "MIT")), (GPL.format(3), ("gpl3-header", "GPL-3.0")), (GPL.format(2), ("gpl2-header", "GPL-2.0")), (BSD2, ("bsd2-full", "BSD-2-Clause")), (BSD3, ("bsd3-full", "BSD-3-Clause"))):
+        for end in ("\n", "\r\n"):
+            lines = [mark + x for line in text.split("\n") for x in (textwrap.wrap(line, width, break_on_hyphens=False) or [""])]
+            n, found = scanner.recognise(end.join(["some text before", *lines, "some text after"]).encode())
+            assert [m[:2] for m in scanner.match(found)] == [want], (text, mark, width)
+
+
+def test_notices_on_single_lines_stay():
+    scanner = licenses.Scanner(licenses.SENTENCES, licenses.RULES, licenses.MAX_GAP)
+    n, found = scanner.recognise(b"words without an end\nAll rights reserved\nmore words\n\nlast")
+    assert n == 4 and [m[0] for m in scanner.match(found)] == ["reserved"]

@@ -1,9 +1,11 @@
 """1. Licence scans by sentence-rule recognition.
 
-A text is cut into sentences (at line ends, and after . ! ? ; : before white space) and each is normalised: A-Z in
-lower case, everything but 0-9, a-z and characters beyond ASCII a blank, single blanks. A sentence of SENTENCES gets
-its identifier. Rules are ordered sequences of identifiers; a rule matches where its identifiers follow each other
-among the recognised sentences of a text, with at most MAX_GAP unknown sentences between two. From left to right
+A text is cut into pieces (at line ends, and after . ! ? ; : before white space; comment marks at the start of a line
+are dropped) and each is normalised: A-Z in lower case, everything but 0-9, a-z and characters beyond ASCII a blank,
+single blanks. A sentence of SENTENCES is a piece, or pieces of following lines of a paragraph without another cut or an
+empty line between; the longest counts. It gets its identifier. Rules are ordered sequences of identifiers; a rule
+matches where its identifiers follow each other among the recognised sentences of a text, with at most MAX_GAP unknown
+sentences (of one or more lines) between two. n_sentences and spans count pieces. From left to right
 the longest rule matches first, equal ones in the order of RULES, and matches don't overlap.
 
 Defined results: null and empty texts have no sentences and no licences; repeated rows are scanned one by one; a
@@ -22,7 +24,9 @@ from wordloom.llm.common import map_batches, table
 from wordloom.llm.decontamination import NORMAL
 
 MAX_GAP = 2
-_CUT = re.compile(rb"(?<=[.!?;:])[\x20\x09-\x0D]+|[\r\n]+")
+_CUT = re.compile(rb"((?<=[.!?;:])[\x20\x09-\x0D]+|[\r\n]+)")
+_MARK = re.compile(rb"(?<![^\r\n])[\x20\t]*(?:[!-/:-@\[-`{-~]+|dnl|rem|REM)[\x20\t]+")
+_LINE_END = (b"\n", b"\r\n", b"\r")
 
 #: Normalised sentence -> identifier.
 SENTENCES = {
@@ -48,6 +52,8 @@ SENTENCES = {
     "licensed under cc by 4 0": "cc-by4-notice",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by4-notice",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "all rights reserved": "reserved",
 }
@@ -60,6 +66,8 @@ RULES = (
     ("apache2-short", "Apache-2.0", ("apache2-notice", "apache2-condition")),
     ("gpl3-header", "GPL-3.0", ("gpl-free", "gpl3-terms")),
     ("gpl2-header", "GPL-2.0", ("gpl-free", "gpl2-terms")),
+    ("bsd3-full", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("bsd2-full", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("bsd3-text", "BSD-3-Clause", ("bsd-grant", "bsd-endorse")),
     ("bsd-text", "BSD-2-Clause", ("bsd-grant",)),
     ("mit-notice", "MIT", ("mit-notice",)),
@@ -76,33 +84,54 @@ RESTRICTED = {"GPL-2.0", "GPL-3.0", "CC-BY-NC-4.0", "proprietary"}
 class Scanner:
     def __init__(self, sentences: dict[str, str], rules, max_gap: int):
         self.known = {k.encode(): v for k, v in sentences.items()}
-        #: First words, to look only at sentences that can be known.
+        #: First words, to look only at sentences that can be known, and all beginnings, to join lines no further.
         self.first = {k.split()[0] for k in self.known}
+        self.begins = {b" ".join(k.split()[:n]) for k in self.known for n in range(1, len(k.split()) + 1)}
         self.max_gap, self.by_first = max_gap, {}
         for n, rule in enumerate(rules):
             self.by_first.setdefault(rule[2][0], []).append((-len(rule[2]), n, rule))
         for v in self.by_first.values():
             v.sort()
 
-    def recognise(self, text: bytes) -> tuple[int, list[tuple[int, str]]]:
-        """Sentences in the text, and (place, identifier) of the known ones."""
-        n, found = 0, []
-        for s in _CUT.split(text):
-            ws = s.translate(NORMAL).split()
+    def recognise(self, text: bytes) -> tuple[int, list[tuple[int, int, int, str]]]:
+        """Pieces in the text, and (first piece, last piece, number of the sentence, identifier) of the known sentences."""
+        cut = _CUT.split(_MARK.sub(b"", text))
+        pieces: list[tuple[list[bytes], bool]] = []  # words, whether the sentence may go on from the line before
+        on = False
+        for at in range(0, len(cut), 2):
+            ws = cut[at].translate(NORMAL).split()
             if ws:
-                if ws[0] in self.first and (i := self.known.get(b" ".join(ws))):
-                    found.append((n, i))
-                n += 1
-        return n, found
-
-    def match(self, found: list[tuple[int, str]]) -> list[tuple[str, str, int, int]]:
-        """(rule, licence, first and last sentence) of every match."""
+                pieces.append((ws, on))
+            on = bool(ws) and at + 1 < len(cut) and cut[at + 1] in _LINE_END and cut[at][-1:] not in b".!?;:"
+        n, sentence, found, known = 0, -1, [], True
+        while n < len(pieces):
+            ws, on = pieces[n]
+            last, name = n, None
+            if ws[0] in self.first:
+                key, end = b" ".join(ws), n
+                while key in self.begins:
+                    if i := self.known.get(key):
+                        last, name = end, i
+                    end += 1
+                    if end == len(pieces) or not pieces[end][1]:
+                        break
+                    key += b" " + b" ".join(pieces[end][0])
+            if name or known or not on:
+                sentence += 1
+            known = bool(name)
+            if name:
+                found.append((n, last, sentence, name))
+            n = last + 1
+        return len(pieces), found
+
+    def match(self, found: list[tuple[int, int, int, str]]) -> list[tuple[str, str, int, int]]:
+        """(rule, licence, first and last piece) of every match."""
         out, at = [], 0
         while at < len(found):
-            for _, _, (name, licence, ids) in self.by_first.get(found[at][1], ()):
+            for _, _, (name, licence, ids) in self.by_first.get(found[at][3], ()):
                 part = found[at : at + len(ids)]
-                if tuple(i for _, i in part) == ids and all(b[0] - a[0] - 1 <= self.max_gap for a, b in zip(part, part[1:])):
-                    out.append((name, licence, part[0][0], part[-1][0]))
+                if tuple(x[3] for x in part) == ids and all(b[2] - a[2] - 1 <= self.max_gap for a, b in zip(part, part[1:])):
+                    out.append((name, licence, part[0][0], part[-1][1]))
                     at += len(ids) - 1
                     break
             at += 1
@@ -110,7 +139,7 @@ class Scanner:
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, max_gap: int = MAX_GAP) -> DataFrame:
-    """One row per document: doc_id, n_sentences, n_known, licenses (sorted), rules, spans (sentences), restricted."""
+    """One row per document: doc_id, n_sentences, n_known, licenses (sorted), rules, spans (pieces), restricted."""
     scanner = Scanner(sentences, rules, max_gap)
     restricted = RESTRICTED
 
