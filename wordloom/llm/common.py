@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.sources.scratch import shared_dir
+
 #: A word of the contracts that split at ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,9 +56,11 @@ def _trim() -> None:
         libc.malloc_trim(0)
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most SLICE rows and BATCH_BYTES, where the session leaves Spark's defaults: long texts otherwise
-    make batches of tens of MB, each held by the JVM and by a worker, both ways."""
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to at most SLICE rows and BATCH_BYTES, where it leaves Spark's defaults: long texts
+    otherwise make batches of tens of MB, each held by the JVM and by a worker, both ways.
+
+    The queries and the pipeline's stages call this; operators leave the session's settings alone."""
     for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, SLICE), ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, BATCH_BYTES)):
         if spark.conf.isModifiable(key) and (now := spark.conf.get(key).rstrip("b")).isdigit() and int(now) >= default:
             spark.conf.set(key, str(value))
@@ -77,7 +80,6 @@ def _arrays(columns: dict, schema: pa.Schema) -> list[pa.Array]:
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow with slices of batches as dicts of Python lists; fn sees one task's slices in order."""
     arrow = _arrow(schema)
-    _small_batches(df.sparkSession)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -92,6 +94,13 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], s
     return df.mapInArrow(run, schema)
 
 
+def hash_sample(docs: DataFrame, n: int) -> DataFrame:
+    """The n rows of (doc_id, text) of least hash: a sample of the whole table that doesn't depend on files or order."""
+    h = F.xxhash64(F.col("doc_id"), F.col("text"))
+    last = docs.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return docs.select("doc_id", "text").where(h <= F.lit(last)).orderBy(h).limit(n)  # rows of one hash are alike
+
+
 def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -104,7 +113,6 @@ def extended(df: DataFrame, inputs: list[str], fn: Callable[[dict], dict], schem
     new = _arrow(schema) if schema else pa.schema([])
     whole = ", ".join(x for x in (ddl(df.select(*(f"`{c}`" for c in kept))), schema) if x)
     where = {c: i for i, c in enumerate(df.columns)}
-    _small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,34 +133,50 @@ def extended(df: DataFrame, inputs: list[str], fn: Callable[[dict], dict], schem
 
 #: Rows that are broadcast at most, after they are counted.
 BROADCAST_ROWS = 200_000
+#: In joins with larger tables: rows of a key from which on it is dealt, and the parts.
+HOT, SALT = 1 << 16, 16
+
+
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"__{name}_{uuid.uuid4().hex}"
 
 
 def without(docs: DataFrame, rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """docs without those whose keys (nulls equal) are among rows; keys: column of rows -> expression over docs.
 
     rows is written and counted: up to BROADCAST_ROWS are broadcast, so that docs need no shuffle; more are joined."""
-    rows = written(rows.select(*(F.col(k).alias(f"__out_{k}") for k in keys)).distinct())
+    names = {k: fresh("out") for k in keys}
+    rows = written(rows.select(*(F.col(k).alias(names[k]) for k in keys)).distinct())
     n = rows.count()
     if not n:
         return docs
-    same = [expr.eqNullSafe(F.col(f"__out_{k}")) for k, expr in keys.items()]
+    same = [expr.eqNullSafe(F.col(names[k])) for k, expr in keys.items()]
     condition = same[0]
     for c in same[1:]:
         condition = condition & c
     return docs.join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows, condition, "left_anti")
 
 
-_written: list[tuple[SparkSession, str]] = []
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner", limit: int | None = None, hot: int | None = None) -> DataFrame:
+    """rows joined with a written table that has one row a key. Up to limit (BROADCAST_ROWS) of them are broadcast. Beyond,
+    both are shuffled; rows of a key with more than HOT of them are dealt over SALT parts, to each of which that key's row
+    goes, so that a hot key is no task's alone."""
+    if found.count() <= (BROADCAST_ROWS if limit is None else limit):
+        return rows.join(F.broadcast(found), keys, how)
+    salt, parts = fresh("salt"), fresh("parts")
+    # At most one key for every HOT rows: small beside the rows.
+    heavy = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(salt)).where(F.col(salt) > (HOT if hot is None else hot)).select(*keys, F.lit(SALT).alias(parts)))
+    absent = F.col(keys[0]).isNull()
+    for k in keys[1:]:
+        absent = absent | F.col(k).isNull()
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int")
+    dealt = rows.join(heavy, keys, "left").withColumn(salt, F.when(F.col(parts).isNotNull() | absent, part).otherwise(0)).drop(parts)
+    spread = found.join(heavy, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return dealt.join(spread, [*keys, salt], how).drop(salt)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of this process where that is unset."""
-    said = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not said:
-        said = f"file://{tempfile.mkdtemp(prefix='wordloom-')}"
-        spark.sparkContext._conf.set("spark.checkpoint.dir", said)
-        spark.conf.set("spark.checkpoint.dir", said)
-    return said.rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -167,12 +191,23 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove what written() wrote for df, when nothing reads it any more."""
-    for path in df.inputFiles()[:1]:
-        root = path[: path.index("/", path.index("wordloom-"))]
-        for spark, p in list(_written):
-            if p.rsplit("/", 1)[1] == root.rsplit("/", 1)[1]:
-                _remove(spark, p)
-                _written.remove((spark, p))
+    for file in df.inputFiles()[:1]:
+        for spark, path in list(_written):
+            if f"/{path.rsplit('/', 1)[1]}/" in file:
+                _remove(spark, path)
+                _written.remove((spark, path))
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns as a written table; all tables that were written on the way are removed."""
+    before = {p for _, p in _written}
+    out = written(make())
+    last = _written[-1]
+    for spark, path in list(_written):
+        if path not in before and (spark, path) != last:
+            _remove(spark, path)
+            _written.remove((spark, path))
+    return out
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -7,8 +7,13 @@ pattern rules out a match and the position moves on by that; where the shift is
 patterns and each is compared directly. Patterns are grouped by length first, since the shortest of a group limits
 its shifts.
 
-The compiled tables are proportional to the benchmark. They are sent to the executors in blocks of at most
-BLOCK_BYTES benchmark bytes; documents pass through one search per block in the same job, without a shuffle.
+The compiled tables are proportional to the benchmark, so it is cut into blocks of at most BLOCK_BYTES of text, which the
+driver reads one at a time. A block's tables (some 100 bytes for each of its bytes, in every worker) are broadcast, all
+documents are searched for it, what is found is written, and the tables are freed before the next block. A benchmark of
+one block takes one pass and no shuffle; of more, the findings of a document are merged by doc_id and text hash at the end.
+
+clean_documents() leaves out every document that holds a window, however long the rest of its text is; the column
+contaminated asks for a share of the text besides.
 
 Defined results: null or empty text has no words and isn't contaminated; null or empty items have no windows;
 repeated documents are handled one by one; rows with one item_id are one item, and several items with one text all
@@ -20,19 +25,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import extended, table
+from wordloom.llm.common import discard, extended, table, without, written
 
 WINDOW, BLOCK, BLOCK_BYTES = 13, 8, 1 << 20
 #: bytes.translate table: A-Z to a-z, all that isn't 0-9, a-z or beyond ASCII to a blank.
 NORMAL = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 
-#: Columns of the search, beside the documents' own.
-STARTS, ENDS, ITEMS = "__search_starts", "__search_ends", "__search_items"
 #: Pattern groups by least byte length.
 LENGTHS = (48, 24, 12, 8, 4, 1)
 
@@ -100,11 +104,11 @@ def compile_items(items: list[tuple[object, str | None]], window: int = WINDOW)
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
-    """Items in id order, in lists of at most block_bytes text (a longer item is a list by itself), streamed to the driver."""
+    """Items in lists of at most block_bytes text (a longer item is a list by itself); a partition at a time is on the driver."""
     part: list[tuple[object, str | None]] = []
     size = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len(row[1] or "")
+        n = len((row[1] or "").encode("utf-8", "replace"))
         if part and size + n > block_bytes:
             yield part
             part, size = [], 0
@@ -114,23 +118,21 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
         yield part
 
 
-def _search(compiled: tuple, columns: dict) -> dict:
-    """Adds what one block's search finds to the columns of spans and items."""
+def _search(compiled: tuple, texts: list[bytes | None]) -> dict[str, list]:
+    """For each text: starts and ends (in words) of the patterns in it, and names of the items."""
     search, owners, lengths, names = compiled
-    for text, starts, ends, found in zip(columns["text"], columns[STARTS], columns[ENDS], columns[ITEMS]):
+    out: dict[str, list] = {"starts": [], "ends": [], "items": []}
+    for text in texts:
         text = b" " + b" ".join(normal_words(text)) + b" "
-        spans, hit = [], set()
-        for begin, i in search.find(text):
-            spans.append((begin, lengths[i]))
-            hit.update(owners[i])
+        starts, ends, hit = [], [], set()
+        spans = [(begin, lengths[i]) for begin, i in search.find(text) if not hit.update(owners[i])]
         if spans:
             blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-            first = np.searchsorted(blanks, [b for b, _ in spans])
-            for w, (_, n) in zip(first.tolist(), spans):
-                starts.append(w)
-                ends.append(w + n)
-            found += [names[i] for i in hit]
-    return columns
+            starts = np.searchsorted(blanks, [b for b, _ in spans]).tolist()
+            ends = [w + n for w, (_, n) in zip(starts, spans)]
+        for k, v in zip(out, (starts, ends, [names[i] for i in hit])):
+            out[k].append(v)
+    return out
 
 
 def merged(starts: list[int], ends: list[int]) -> list[list[int]]:
@@ -148,46 +150,65 @@ def contaminated(hit: int, n: int) -> bool:
     return hit > 0 and 20 * hit >= n
 
 
-def _digest(columns: dict) -> dict:
+def _digest(texts: list[bytes | None], found: dict[str, list]) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans")}
-    for text, starts, ends, items in zip(*(columns[k] for k in ("text", STARTS, ENDS, ITEMS))):
-        n, spans, names = len(normal_words(text)), merged(starts, ends), sorted(set(items))
+    for text, starts, ends, items in zip(texts, found["starts"], found["ends"], found["items"]):
+        n, spans, names = len(normal_words(text)), merged(starts or (), ends or ()), sorted(set(items or ()))
         hit = sum(b - a for a, b in spans)
         for k, v in zip(out, (n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), contaminated(hit, n), names, spans)):
             out[k].append(v)
     return out
 
 
-def _clean(columns: dict) -> dict:
-    return {None: [not a or not contaminated(sum(y - x for x, y in merged(a, b)), len(normal_words(t))) for t, a, b in zip(columns["text"], columns[STARTS], columns[ENDS])]}
+FOUND = "starts array<bigint>, ends array<bigint>, items array<string>"
+DIGEST = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<array<long>>"
+
 
+def _hits(docs: DataFrame, parts: Iterator[list], window: int) -> DataFrame:
+    """doc_id, h (text hash), starts, ends, items of the documents in which windows of any block occur; a block at a time."""
+    spark, texts, found = docs.sparkSession, docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), None
+    for items in parts:
+        tables = spark.sparkContext.broadcast(compile_items(items, window))
 
-def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, finish, schema: str) -> DataFrame:
-    """One search per block over all documents, then finish on what they found, in the pass of the last block."""
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    df = docs.select("*", none("bigint").alias(STARTS), none("bigint").alias(ENDS), none("string").alias(ITEMS))
-    found = (STARTS, ENDS, ITEMS)
-    parts = list(blocks(benchmark, block_bytes)) or [[]]
-    for k, items in enumerate(parts):
-        compiled = docs.sparkSession.sparkContext.broadcast(compile_items(items, window))
-        if k < len(parts) - 1:
-            df = extended(df, ["text", *found], lambda c, m=compiled: {x: v for x, v in _search(m.value, c).items() if x in found}, f"{STARTS} array<bigint>, {ENDS} array<bigint>, {ITEMS} array<string>", found)
-        else:
-            df = extended(df, ["text", *found], lambda c, m=compiled: finish(_search(m.value, c)), schema, found)
-    return df
+        def run(c: dict, tables=tables) -> dict:
+            out = _search(tables.value, c["text"])
+            return out | {None: [bool(x) for x in out["starts"]]}
 
+        rows = extended(texts, ["text"], run, FOUND, ("text",)).dropDuplicates(["doc_id", "h"])
+        new = written(rows if found is None else rows.unionByName(found).groupBy("doc_id", "h").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items"))))
+        if found is not None:
+            discard(found)
+        found = new
+        tables.unpersist()
+    return found
 
-DIGEST = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<array<long>>"
+
+def _parts(benchmark: DataFrame, block_bytes: int) -> tuple[list, Iterator[list]]:
+    """The first block, and all of them if there are more."""
+    rest = blocks(benchmark, block_bytes)
+    first, second = next(rest, []), next(rest, None)
+    return first, iter(()) if second is None else chain([first, second], rest)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, hit_spans (word ranges)."""
-    return _scan(docs.select("doc_id", "text"), benchmark, window, block_bytes, _digest, DIGEST).drop("text")
+    docs = docs.select("doc_id", "text")
+    first, parts = _parts(benchmark, block_bytes)
+    if (one := next(parts, None)) is None:
+        tables = docs.sparkSession.sparkContext.broadcast(compile_items(first, window))
+        return extended(docs, ["text"], lambda c: _digest(c["text"], _search(tables.value, c["text"])), DIGEST, ("text",))
+    found = _hits(docs, chain([one], parts), window).select(F.col("doc_id").alias("id"), F.col("h").alias("k"), "starts", "ends", "items")
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("k")), "left").select("doc_id", "text", "starts", "ends", "items")
+    return extended(joined, ["text", "starts", "ends", "items"], lambda c: _digest(c["text"], c), DIGEST, ("text", "starts", "ends", "items"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
-    return _scan(docs, benchmark, window, block_bytes, _clean, "")
+    """The documents that hold no window of the benchmark, with all their columns."""
+    first, parts = _parts(benchmark, block_bytes)
+    if (one := next(parts, None)) is None:
+        tables = docs.sparkSession.sparkContext.broadcast(compile_items(first, window))
+        return extended(docs, ["text"], lambda c: {None: [not x for x in _search(tables.value, c["text"])["starts"]]})
+    return without(docs, _hits(docs, chain([one], parts), window), {"doc_id": F.col("doc_id"), "h": F.xxhash64("text")})
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """The queries of this subpackage and their SQL twins."""
 
+from functools import wraps
+
+from wordloom.llm.common import small_batches
 from wordloom.llm.decontamination import OP2_SQL, op2_decontamination
 from wordloom.llm.language_id import op9_language_id
 from wordloom.llm.licenses import op1_license_scan
@@ -11,8 +14,19 @@ from wordloom.llm.quality_rules import OP3_SQL, op3_quality_rules
 from wordloom.llm.token_counts import op6_token_counts
 from wordloom.llm.warc import OP8_SQL, op8_warc_fixity
 
+
+
+def _query(fn):
+    @wraps(fn)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _query(f)
     for f in (
         op1_license_scan,
         op2_decontamination,
