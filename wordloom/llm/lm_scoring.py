@@ -11,8 +11,8 @@ mod 7, isn't 2), over all of them:
 
 The file's scores are merge ranks, not log probabilities, so the pieces' weights are their counts in the training
 words as the vocabulary itself segments them, plus one. Every distinct word is counted, segmented and scored once;
-documents then look their words up in two tiers: a broadcast table of the most frequent words (at most TABLE_WORDS of
-at most MAX_KEY bytes), and a shuffle join for the rest, which by then has no hot word. Sums are of whole 1e-10
+documents then look their words up in two tiers: a broadcast table of the most frequent words (at most TABLE_WORDS, those
+of more than MAX_KEY bytes by their MD5), and a shuffle join for the rest, which by then has no hot word of any length. Sums are of whole 1e-10
 units, so they don't depend on the order of rows.
 
 Defined results: null text is empty and has the end alone; without training tokens every base probability is 1;
@@ -22,6 +22,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -114,6 +115,11 @@ def scored_words(counts: DataFrame, lattice: Lattice) -> DataFrame:
     return map_batches(counts, run, "word string, c long, t long, base long, lattice long")
 
 
+def table_key(word: bytes, max_key: int = MAX_KEY) -> bytes:
+    """A word as a key of the table: itself, or a blank and its MD5 (no word holds a blank)."""
+    return word if len(word) <= max_key else b" " + hashlib.md5(word, usedforsecurity=False).digest()
+
+
 def least_frequent(scored: DataFrame, entries: int) -> int:
     """The least bin of counts t (eighths of powers of 2) from which on there are at most entries words."""
     level = F.floor(F.log2("t") * 8).cast("int").alias("level")
@@ -139,8 +145,10 @@ def score(docs: DataFrame, path: str | None = None, table_words: int = TABLE_WOR
     known = scored.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = known[0] + ends, known[1] + (ends > 0)
     least = least_frequent(scored, table_words)
-    is_frequent = (F.floor(F.log2("t") * 8) >= least) & (F.octet_length("word") <= max_key)
-    frequent = {r[0].encode("utf-8", "replace"): (int(r[1] > 0), r[2], r[3]) for r in scored.where(is_frequent).select("word", "c", "base", "lattice").collect()}
+    is_frequent = F.floor(F.log2("t") * 8) >= least
+    word = F.col("word").cast("binary")
+    key = F.when(F.octet_length(word) <= max_key, word).otherwise(F.concat(F.lit(" ").cast("binary"), F.unhex(F.md5(word))))
+    frequent = {bytes(r[0]): (int(r[1] > 0), r[2], r[3]) for r in scored.where(is_frequent).select(key, "c", "base", "lattice").collect()}
     tier = spark.sparkContext.broadcast(frequent)
     end = (int(ends > 0), round(math.log10(ends + 1) * UNIT), round(end_log / math.log(10) * UNIT))
 
@@ -151,7 +159,10 @@ def score(docs: DataFrame, path: str | None = None, table_words: int = TABLE_WOR
             columns = list(out.values())
             for doc_id, h, text in zip(b["doc_id"], b["h"], b["text"]):
                 ws = (text or b"").translate(LOWER_SPACED).split()
-                found = list(map(get, ws))
+                if ws and len(max(ws, key=len)) > max_key:
+                    found = [get(table_key(w, max_key)) for w in ws]
+                else:
+                    found = list(map(get, ws))
                 rest = Counter(w for w, f in zip(ws, found) if f is None)
                 a, x, y = map(sum, zip(end, *(f for f in found if f is not None)))
                 # A blank in the key: matches no word, and spreads the documents' own rows.

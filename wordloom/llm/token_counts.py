@@ -3,8 +3,8 @@
 Byte-level BPE never merges across pre-tokens, so a text's count is the sum of its pre-tokens' counts. The first
 tier is a broadcast table of frequent pre-tokens and their token counts (at most TABLE_ENTRIES entries of at most
 MAX_KEY characters); the second is a cache in each Python worker, filled by encoding misses with the library. No
-pre-token is ever shuffled. The table is filled from a bounded sample of documents and only saves encoding: every
-count is what the library gives, whatever the table holds.
+pre-token of the corpus is ever shuffled. The table is filled from SAMPLE_ROWS documents drawn by hash, whole texts, and
+only saves encoding: every count is what the library gives, whatever the table holds.
 
 Pre-tokens are cut by the published pattern of the vocabulary. Characters whose class depends on the Unicode
 version of the pattern's engine (outside SAFE) send the whole text to the library instead.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import map_batches, table
+from wordloom.llm.common import hash_sample, map_batches, table
 
 SAMPLE_ROWS, TABLE_ENTRIES, MAX_KEY, CACHE_ENTRIES = 2_000, 1 << 15, 32, 1 << 19
 TOKENIZER, SPECIAL = "byte_bpe_50k.json", "<|endoftext|>"
@@ -87,20 +87,27 @@ class TokenCounter:
         return total
 
 
-def frequent_pretokens(texts: list[str | None], entries: int = TABLE_ENTRIES) -> list[str]:
-    import regex
+def frequent_pretokens(sample: DataFrame, entries: int = TABLE_ENTRIES) -> list[str]:
+    """The most frequent short pre-tokens of a sample; equals by code points."""
 
-    split, counts = regex.compile(PRETOKEN).findall, Counter()
-    for t in texts:
-        counts.update(split((t or "").replace(SPECIAL, "\n")))
-    return [p for p, _ in counts.most_common() if len(p) <= MAX_KEY][:entries]
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        import regex
+
+        split = regex.compile(PRETOKEN).findall
+        for b in batches:
+            counts: Counter[str] = Counter()
+            for t in b["text"]:
+                counts.update(p for p in split((t or "").replace(SPECIAL, "\n")) if len(p) <= MAX_KEY)
+            yield {"p": list(counts), "n": list(counts.values())}
+
+    counts = map_batches(sample.select("text"), run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    return [r[0] for r in counts.orderBy(F.col("n").desc(), "p").limit(entries).collect()]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
     path = path or tokenizer_path()
-    sample = [r[0] for r in docs.select(F.substring("text", 1, 8192)).limit(sample_rows).collect()]
-    common = frequent_pretokens(sample)
+    common = frequent_pretokens(hash_sample(docs, sample_rows))
     counter = TokenCounter(path, {})
     frequent = docs.sparkSession.sparkContext.broadcast(dict(zip(common, counter.encode(common))))
     name = f"_wordloom_tokens_{uuid.uuid4().hex}"

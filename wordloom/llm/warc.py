@@ -1,6 +1,7 @@
 """8. WARC records and a Merkle fixity audit.
 
-A page becomes a WARC/1.0 response record. Records lie in segments (one archive file each) in the order of their
+A page becomes a WARC/1.0 resource record (its HTML as it was kept; no HTTP head is made up), dated DATE where nothing says
+when it was fetched. Records lie in segments (one archive file each) in the order of their
 digests; a segment's records, with their offset ranges, are the leaves of a tree whose inner nodes hash the digests
 of FANOUT children in order, and whose root stands for the whole segment. A leaf's place in the tree follows from its
 digest, not from its place in the file, so that archive and replica stay aligned where records are lost or inserted.
@@ -10,7 +11,8 @@ level, down to single records and their offset ranges.
 A segment is a prefix of the digest, so records spread evenly, whatever the pages; segments grow in number, not in
 size, an inner node never holds more than FANOUT children, and a level-0 node holds one record on average.
 
-Defined results: null url or html is written as empty, a null page_id as an empty id; identical pages are separate
+Defined results: null url or html is written as empty, a null page_id as an empty id; line ends in an address are written
+as %0D and %0A; identical pages are separate
 records; an empty table has no segments and no damage; a record that a replica lacks is damaged. Other columns are
 ignored.
 """
@@ -28,13 +30,14 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import discard, map_batches, table, written
 from wordloom.llm.mixing import hash_digits
 
-FANOUT, SEGMENT_RECORDS = 16, 4096
+FANOUT, SEGMENT_RECORDS, DATE = 16, 4096, "1970-01-01T00:00:00Z"
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
-    """The bytes of a response record, as a string."""
+    """The bytes of a resource record, as a string."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    head = ("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:", text(page_id), ">\r\nWARC-Target-URI: ", text(url), "\r\nContent-Type: text/html\r\nContent-Length: ", F.octet_length(text(html)).cast("string"), "\r\n\r\n", text(html), "\r\n\r\n")
+    address = F.replace(F.replace(text(url), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    head = (f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Date: {DATE}\r\nWARC-Record-ID: <urn:page:", text(page_id), ">\r\nWARC-Target-URI: ", address, "\r\nContent-Type: text/html\r\nContent-Length: ", F.octet_length(text(html)).cast("string"), "\r\n\r\n", text(html), "\r\n\r\n")
     return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in head))
 
 
@@ -168,26 +171,32 @@ def audit(own: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame
 
 
 def write_warc(recs: DataFrame, man: DataFrame, path: str) -> int:
-    """One file a segment under path (a folder all executors share): records in the manifest's order. Files are renamed
-    into place, so a repeated task does no harm. A record is found by its digest and page_id. Returns the bytes written."""
+    """One file a segment under path, a folder all executors share on any file system that Arrow knows (a plain path, file:,
+    hdfs:, s3: ...): records in the manifest's order. Files are moved into place, so a repeated task does no harm. A record
+    is found by its digest. Returns the bytes written."""
     keyed = recs.withColumn("digest", F.sha2(F.col("record").cast("binary"), 256)).groupBy("digest").agg(F.first("record").alias("record"))
     rows = man.select("segment", "seq", "digest").join(keyed, "digest").repartition("segment").sortWithinPartitions("segment", "seq").select("segment", F.col("record").cast("binary").alias("record"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        out, name, size = None, None, 0
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+        out, name, size, part = None, None, 0, ""
 
         def close() -> None:
             if out:
                 out.close()
-                os.replace(out.name, f"{path}/segment-{name or 'all'}.warc")
+                files.move(part, f"{root}/segment-{name or 'all'}.warc")
 
-        os.makedirs(path, exist_ok=True)
+        files.create_dir(root, recursive=True)
         for b in batches:
             for segment, data in zip(b["segment"], b["record"]):
                 if out is None or segment != name:
                     close()
-                    name, out = segment, open(f"{path}/.{uuid.uuid4().hex}", "wb")
-                size += out.write(data)
+                    name, part = segment, f"{root}/.{uuid.uuid4().hex}"
+                    out = files.open_output_stream(part)
+                out.write(data)
+                size += len(data)
         close()
         yield {"bytes": [size]}
 
@@ -258,8 +267,8 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH r AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
-    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+WITH r AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
 d AS (SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM r),
 k AS (SELECT CAST(greatest(0, ceil(log2(count(*) / 4096.0) / 4 - 1e-12)) AS INTEGER) AS digits FROM d),
