@@ -44,6 +44,12 @@ _NAME_END = re.compile(r"[\s/>]")
 _ASCII = {i: i + 32 for i in range(65, 91)}
 
 
+def _lower(text: str) -> str:
+    """Lower case, of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII)
+
+
 def trigrams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features of all byte trigrams about a letter, the part each lies in, the normalised bytes and where each begins."""
     data = np.frombuffer((b" " + b"  ".join(p.translate(LOWER_SPACED) for p in parts) + b" "), np.uint8)
@@ -68,7 +74,7 @@ def visible(html: str | None) -> bytes:
     import html as entities
 
     html = html or ""
-    low, out, at, open_ended = html.translate(_ASCII), [], 0, set()
+    low, out, at, open_ended = _lower(html), [], 0, set()
     while (i := html.find("<", at)) >= 0:
         out.append(html[at:i])
         name = "!--" if html.startswith("!--", i + 1) else next((n for n in ("script", "style") if low.startswith(n, i + 1) and _NAME_END.match(low, i + 1 + len(n))), None)
@@ -95,7 +101,7 @@ def visible(html: str | None) -> bytes:
 def declared_language(html: str | None) -> str | None:
     """The primary subtag in the first html tag's lang."""
     html = html or ""
-    low = html.translate(_ASCII)
+    low = _lower(html)
     i = low.find("<html")
     while i >= 0 and not _NAME_END.match(low, i + 5):
         i = low.find("<html", i + 5)
@@ -170,15 +176,15 @@ class Models:
 
 def _text_scores(texts: list[bytes], model: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log likelihoods of each text by language and, last, by single bytes, weighted down to TEXT_CAP trigrams; trigrams."""
-    total, n = np.zeros((len(texts), model.shape[1] + 1)), np.zeros(len(texts), np.int64)
+    total, n, chance = np.zeros((len(texts), model.shape[1] + 1)), np.zeros(len(texts), np.int64), np.exp(single)
     for rows, parts in chunks(texts):
         code, part, data, at = trigrams(parts)
         if len(code):
             own = np.asarray(rows)[part]
             first = np.flatnonzero(np.diff(own, prepend=-1))
             total[own[first], :-1] += np.add.reduceat(model[code], first, axis=0, dtype=np.float64)
-            drawn = np.logaddexp(single[data[at]] + single[data[at + 1]] + single[data[at + 2]], -np.log(FEATURES)) - np.log(2)
-            total[own[first], -1] += np.add.reduceat(drawn, first)
+            drawn = chance[data[at]] * chance[data[at + 1]] * chance[data[at + 2]] / 2 + 0.5 / FEATURES
+            total[own[first], -1] += np.add.reduceat(np.log(drawn), first)
             n[own[first]] += np.diff(np.append(first, len(own)))
     return total * np.minimum(1, TEXT_CAP / np.maximum(n, 1))[:, None], n
 
