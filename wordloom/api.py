@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom import __version__
-from wordloom.functions.chartypes import ALIASES, LANGUAGES, parse_language
+from wordloom.errors import KINDS, AlreadyTrained, InvalidArgument, ModelError, ParseError, PosUnavailable, ReadError, Unsupported, WordloomError, kind_of_error
+from wordloom.functions.chartypes import ALIASES, LANGUAGES, char_type_of, parse_language
 from wordloom.functions.text import tagged_token, tokens
 from wordloom.operators import evaluate, features, segment, tagger, train
 from wordloom.sources import models
@@ -24,12 +25,12 @@ def supported_languages() -> list[str]:
 
 
 @lru_cache(maxsize=8)
-def _cached(uri: str, allow_http: bool):
+def _cached(uri: str, allow_http: bool, stamp: object):
     return models.load_model(uri, SparkSession.getActiveSession(), allow_http)
 
 
-class PosUnavailable(ValueError):
-    """Tags were asked of a model that has no tag stage."""
+def clear_model_cache() -> None:
+    _cached.cache_clear()
 
 
 class Segmenter:
@@ -44,7 +45,8 @@ class Segmenter:
 
     @classmethod
     def open(cls, uri: str, language: str, allow_http: bool = False) -> Segmenter:
-        return cls(_cached(uri, allow_http), language)
+        """A model file; it is kept in memory until it changes or the cache is cleared."""
+        return cls(_cached(uri, allow_http, models.stamp(uri)), language)
 
     @classmethod
     def from_bytes(cls, data: bytes, language: str) -> Segmenter:
@@ -66,24 +68,39 @@ class Segmenter:
         with_null = F.transform(byte_spans(F.col("words")), lambda s: F.struct(s["surface"], s["start"], s["end"], F.lit(None).cast("string").alias("pos")))
         return rows.withColumn("tokens", with_null).drop("words")
 
-    def segment_with_pos(self, lines: DataFrame, column: str = "line", keys: tuple[str, ...] = ("id",)) -> DataFrame:
-        """Adds tokens, array(struct(surface, pos)); keys must tell the lines apart."""
+    def segment_with_pos(self, lines: DataFrame, column: str = "line") -> DataFrame:
+        """Adds tokens, array(struct(surface, pos))."""
         if not self.two_stage:
             raise PosUnavailable("the model has no tag stage")
-        return tagger.segment_with_pos(lines, self.two_stage, self.language, column, keys)
+        return tagger.segment_with_pos(lines, self.two_stage, self.language, column)
+
+    def segment_batch(self, lines: list[str]) -> list[list[str]]:
+        """Words of each line, here and now, in order."""
+        return self.segmenter.segment_batch(lines)
+
+    def segment_with_pos_batch(self, lines: list[str]) -> list[list[tuple[str, str]]]:
+        """Words and tags of each line, here and now, in order."""
+        if not self.two_stage:
+            if any(lines):
+                raise PosUnavailable("the model has no tag stage")
+            return [[] for _ in lines]
+        own, out = tagger.CompiledTagger(self.two_stage, self.language), []
+        for block in own.stage1.blocks(lines):
+            words = block.words()
+            pairs = list(zip(words.to_pylist(), (own.names[i] for i in own.tags(block, words))))
+            at = block.edges().tolist()
+            out += [pairs[a:b] for a, b in zip(at, at[1:])]
+        return out
 
     def evaluate(self, gold_lines: DataFrame, tsv: bool = False, pos: bool = False, column: str = "line") -> DataFrame:
         """One row of metrics against gold corpus lines, which aren't trimmed."""
         each = F.transform(tokens(F.col(column), tsv), tagged_token) if pos else tokens(F.col(column), tsv)
         gold = gold_lines.select(each.alias("gold")).where(F.size("gold") > 0)
         surfaces = F.transform("gold", lambda t: t["surface"]) if pos else F.col("gold")
-        text = gold.select(F.monotonically_increasing_id().alias("id"), "gold", F.array_join(surfaces, "").alias("line"))
+        text = gold.select("gold", F.array_join(surfaces, "").alias("line"))
         if not pos:
             return evaluate.evaluate_segmentation(self.segment(text).withColumnRenamed("words", "predicted"))
-        # Ids must stay as they are over both reads, so they are written first.
-        text = train._cut(text)
-        tagged = self.segment_with_pos(text.select("id", "line")).select("id", F.col("tokens").alias("predicted"))
-        both = text.join(tagged, "id")
+        both = self.segment_with_pos(text).withColumnRenamed("tokens", "predicted")
         plain = both.select(F.transform("gold", lambda t: t["surface"]).alias("gold"), F.transform("predicted", lambda t: t["surface"]).alias("predicted"))
         return evaluate.evaluate_segmentation(plain).crossJoin(evaluate.evaluate_pos(both))  # one row each
 
@@ -112,7 +129,7 @@ class _Once:
 
     def _start(self) -> None:
         if self._done:
-            raise RuntimeError("this trainer has trained already")
+            raise AlreadyTrained("this trainer has trained already")
         self._done = True
 
 
@@ -143,10 +160,11 @@ class PerceptronTrainer(_Once):
     def load_model(self, uri: str) -> None:
         self.model = models.load_model(uri, self.instances.sparkSession)
 
-    def train(self) -> models.PerceptronModel:
+    def train(self) -> tuple[models.PerceptronModel, DataFrame]:
+        """The model and one row of metrics on the instances."""
         self._start()
-        self.model = train.perceptron_of(train.train_perceptron(self.instances, self.epochs, self.order, self.model))
-        return self.model
+        self.model = train.perceptron_of(train.train_perceptron(self.instances, self.epochs, self.order, self.model, self.cancel))
+        return self.model, train.perceptron_metrics(self.instances, self.model)
 
 
 class TwoStageTrainer(_Once):
@@ -154,22 +172,59 @@ class TwoStageTrainer(_Once):
         super().__init__()
         self.args = (lines, parse_language(language), order, tsv, feature_set, epochs, dominance)
 
-    def train(self) -> models.TwoStageModel:
+    def train(self) -> tuple[models.TwoStageModel, DataFrame, DataFrame]:
+        """The model and a row of metrics of each stage."""
         self._start()
-        return train.train_two_stage(*self.args)
+        return train.train_two_stage_measured(*self.args, self.cancel)
 
 
-def register(spark: SparkSession, segmenter: Segmenter, name: str = "segment") -> None:
-    """segment(text) as a SQL function, vectorised by Arrow."""
+def register(spark: SparkSession, segmenter: Segmenter, prefix: str = "") -> None:
+    """SQL functions: segment(text), words; char_type(ch), the code of a character; tokens(text), a table function of
+    (word_no, surface)."""
     import pandas as pd
     from pyspark.sql.types import ArrayType, StringType
 
-    compiled = segmenter.segmenter.compiled
+    compiled, language = segmenter.segmenter.compiled, segmenter.language
 
     def words(text: pd.Series) -> pd.Series:
-        return pd.Series(compiled.words([t or "" for t in text]), index=text.index)
-
-    spark.udf.register(name, F.pandas_udf(words, ArrayType(StringType())))
-
-
-__all__ = ["ALIASES", "Extractor", "PerceptronTrainer", "PosUnavailable", "Segmenter", "Trainer", "TwoStageTrainer", "register", "supported_languages", "version"]
+        found = compiled.words([t or "" for t in text])
+        return pd.Series([None if t is None else w for t, w in zip(text, found)], index=text.index)
+
+    def kinds(ch: pd.Series) -> pd.Series:
+        return ch.map({c: char_type_of(c[0], language) for c in ch.dropna().unique() if c})
+
+    for f, name in ((words, "text"), (kinds, "ch")):
+        f.__annotations__ = {name: pd.Series, "return": pd.Series}  # what pandas_udf reads
+
+    class Tokens:
+        def eval(self, text: str):
+            for i, w in enumerate(compiled.words([text or ""])[0]):
+                yield i, w
+
+    spark.udf.register(f"{prefix}segment", F.pandas_udf(words, ArrayType(StringType())))
+    spark.udf.register(f"{prefix}char_type", F.pandas_udf(kinds, StringType()))
+    spark.udtf.register(f"{prefix}tokens", F.udtf(Tokens, returnType="word_no int, surface string"))
+
+
+__all__ = [
+    "ALIASES",
+    "AlreadyTrained",
+    "Extractor",
+    "InvalidArgument",
+    "KINDS",
+    "ModelError",
+    "ParseError",
+    "PerceptronTrainer",
+    "PosUnavailable",
+    "ReadError",
+    "Segmenter",
+    "Trainer",
+    "TwoStageTrainer",
+    "Unsupported",
+    "WordloomError",
+    "clear_model_cache",
+    "kind_of_error",
+    "register",
+    "supported_languages",
+    "version",
+]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wordloom import api
 from wordloom.operators import features, tagger, train
 from wordloom.sources import models
+from wordloom.sources.corpus import read_corpus
 
 SETS = ("fast", "balanced", "full")
 
@@ -34,10 +35,11 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--dominance", type=float, default=models.DOMINANCE)
     t.add_argument("features")
     t.add_argument("output")
-    s = sub.add_parser("segment", help="lines of a file to words")
+    s = sub.add_parser("segment", help="lines to words; without files from standard input to standard output")
+    s.add_argument("--threads", type=positive, help="tasks at a time")
     s.add_argument("model")
-    s.add_argument("input")
-    s.add_argument("output")
+    s.add_argument("input", nargs="?")
+    s.add_argument("output", nargs="?")
     v = sub.add_parser("evaluate", help="metrics against gold lines")
     v.add_argument("model")
     v.add_argument("gold")
@@ -49,10 +51,38 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def positive(text: str) -> int:
+    n = int(text)
+    if n < 1:
+        raise argparse.ArgumentTypeError("must be 1 or more")
+    return n
+
+
+#: Lines of standard input that are read, segmented and printed at a time.
+CHUNK = 4096
+
+
+def pipe(args: argparse.Namespace, source, sink) -> None:
+    """Lines from source to sink in bounded chunks, in order."""
+    from itertools import islice
+
+    own = api.Segmenter.open(args.model, args.language)
+    lines = (x for raw in source if (x := raw.strip()))
+    try:
+        while part := list(islice(lines, CHUNK)):
+            if args.pos:
+                out = [" ".join(f"{w}/{t}" for w, t in tokens) for tokens in own.segment_with_pos_batch(part)]
+            else:
+                out = [" ".join(words) for words in own.segment_batch(part)]
+            sink.write("".join(f"{x}\n" for x in out))
+        sink.flush()
+    except BrokenPipeError:
+        os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())
+
+
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """id and line of text files, in order of the id."""
-    raw = spark.read.text(path, lineSep="\n")
-    return raw.select(F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    return read_corpus(spark, path)
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> None:
@@ -72,14 +102,11 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
             raise ValueError("--pos goes neither with --perceptron nor with -m")
         read = lambda path: features.read_feature_lines(numbered(spark, path)).withColumn("id", F.monotonically_increasing_id())
         if args.pos:
-            one, two = (train.perceptron_of(train.train_perceptron(read(f"{args.features}.{s}"), args.num_epochs, ("id",))) for s in ("stage1", "stage2"))
+            one, two = (trained(read(f"{args.features}.{s}"), args.num_epochs) for s in ("stage1", "stage2"))
             lexicon = models.parse_lexicon([r[0] for r in spark.read.text(f"{args.features}.lexicon", lineSep="\n").collect()])
             text = models.TwoStageModel(one.collapsed(), lexicon, two, args.dominance).dump()
         elif args.perceptron:
-            trainer = api.PerceptronTrainer(read(args.features), args.num_epochs, ("id",))
-            if args.model:
-                trainer.load_model(args.model)
-            text = trainer.train().dump()
+            text = trained(read(args.features), args.num_epochs, args.model).dump()
         else:
             trainer = api.Trainer(read(args.features).withColumn("label", F.col("label").cast("int")), args.threshold, args.iterations)
             if args.model:
@@ -95,11 +122,22 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         lines = numbered(spark, args.input).withColumn("line", trim(F.col("line"))).where("line <> ''")
         own = api.Segmenter.open(args.model, args.language)
         out = own.segment_with_pos(lines).select("id", tagger.joined_tags().alias("line")) if args.pos else own.segment(lines).select("id", F.array_join("words", " ").alias("line"))
-        out.orderBy("id").select("line").write.text(args.output)
+        out = out.orderBy("id").select("line")
+        (out.coalesce(args.threads) if args.threads else out).write.text(args.output)
     else:
         report(api.Segmenter.open(args.model, args.language).evaluate(numbered(spark, args.gold), args.format == "tsv", args.pos))
 
 
+def trained(instances: DataFrame, epochs: int, model: str | None = None) -> models.PerceptronModel:
+    """A perceptron over instances in the order of id; its metrics are reported."""
+    trainer = api.PerceptronTrainer(instances, epochs, ("id",))
+    if model:
+        trainer.load_model(model)
+    found, metrics = trainer.train()
+    report(metrics)
+    return found
+
+
 def report(metrics: DataFrame) -> None:
     for k, v in metrics.first().asDict().items():
         print(f"{k}: {v:.2f}" if isinstance(v, float) else f"{k}: {v}", file=sys.stderr)
@@ -107,9 +145,12 @@ def report(metrics: DataFrame) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.master(os.environ.get("SPARK_MASTER", "local[*]")).getOrCreate()
     try:
-        run(args, spark)
+        if args.command == "segment" and not args.input:
+            pipe(args, sys.stdin, sys.stdout)
+        else:
+            threads = getattr(args, "threads", None) or "*"
+            run(args, SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{threads}]")).getOrCreate())
     except (ValueError, OSError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

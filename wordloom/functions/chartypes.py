@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wordloom.errors import Unsupported
+
 LANGUAGES = ("japanese", "chinese", "korean", "english")
 ALIASES = {"ja": "japanese", "zh": "chinese", "ko": "korean", "en": "english"}
 
@@ -35,7 +37,7 @@ def parse_language(name: str) -> str:
     key = name.lower()
     found = ALIASES.get(key, key)
     if found not in RULES:
-        raise ValueError(f"unknown language {name!r}; known: {', '.join(LANGUAGES)}")
+        raise Unsupported(f"unknown language {name!r}; known: {', '.join(LANGUAGES)}")
     return found
 
 

@@ -51,6 +51,11 @@ def segment_label(boundary: Column, pos: Column) -> Column:
     return F.when(boundary, F.concat(F.lit("B-"), pos)).otherwise("O")
 
 
+def all_labels() -> list[str]:
+    """B with each of the 17 tags, and O."""
+    return [*(f"B-{t}" for t in UPOS), "O"]
+
+
 def is_boundary(label: Column) -> Column:
     return label.startswith("B-")
 
@@ -74,9 +79,17 @@ def byte_spans(words: Column) -> Column:
     return _offsets(words, F.octet_length)
 
 
+def starts_of(words: Column, size=F.length) -> Column:
+    """Where each word starts, in units of size; linear in the text's length.
+
+    Every word becomes one mark and a blank for each unit; the k-th mark's place less k is what lies before it."""
+    marks = F.flatten(F.transform(words, lambda w: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), size(w)))))
+    at = F.filter(F.transform(marks, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+    return F.transform(at, lambda i, k: i - k)
+
+
 def _offsets(words: Column, size) -> Column:
-    start = lambda i: F.aggregate(F.slice(words, 1, i), F.lit(0), lambda n, w: n + size(w))
-    return F.transform(words, lambda w, i: F.struct(w.alias("surface"), start(i).alias("start"), (start(i) + size(w)).alias("end")))
+    return F.zip_with(words, starts_of(words, size), lambda w, at: F.struct(w.alias("surface"), at.alias("start"), (at + size(w)).alias("end")))
 
 
 def pct(part: Column, whole: Column) -> Column:

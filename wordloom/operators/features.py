@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.chartypes import char_type, parse_language
 from wordloom.functions.templates import BEGIN, BOUNDARY, END, LENGTH_CAP, TYPES_CAP, WORD, WORD_BEGIN, WORD_END, WORD_SETS, boundary_templates
+from wordloom.functions import text as T
 from wordloom.functions.text import chars, is_space, tagged_token, tokens, trim
 
 
@@ -18,33 +19,36 @@ def gold_tokens(lines: DataFrame, tsv: bool = False, pos: bool = False, line: st
     return trimmed.withColumn("tokens", F.filter(each, lambda t: t["surface"] != "")).where(F.size("tokens") > 0)
 
 
-def _prepared(gold: DataFrame, language: str) -> DataFrame:
-    """Padded characters, types, tags and labels of each sentence as arrays; step by step, so that nothing is evaluated twice."""
+def boundary_features(gold: DataFrame, language: str, tag_free: bool = False, include_first: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, pos, start, tag (of a start), features (sorted set) of every decision position of gold sentences.
+
+    A sentence's characters, types and tags are arrays; shifted against each other and zipped, they are a cell a position
+    that holds its own neighbourhood alone. Names of templates are of one length and each has one value, so the sorted set
+    is the templates in the order of their names."""
+    language = parse_language(language)
+    templates = sorted(boundary_templates(language, tag_free))
     # A token's characters: its start (B and its tag), then O for the rest.
     marks = F.flatten(F.transform("tokens", lambda t: F.transform(chars(t["surface"]), lambda c, i: F.struct(c.alias("ch"), (i == 0).alias("start"), F.when(i == 0, t["pos"]).alias("pos")))))
-    out = gold.withColumn("_marks", marks).where(F.size("_marks") > 0)
     pad = lambda names: F.array(*map(F.lit, names))
-    own_tags = F.transform("_marks", lambda m, i: F.when(i == 0, "U").when(m["start"], "B").otherwise("O"))
-    return (
-        out.withColumn("_w", F.concat(pad(BEGIN), F.transform("_marks", lambda m: m["ch"]), pad(END)))
-        .withColumn("_c", F.transform("_w", lambda c, i: F.when((i < 3) | (i >= F.size("_marks") + 3), "O").otherwise(char_type(c, language))))
-        .withColumn("_p", F.concat(pad("UUU"), own_tags))
+    # Step by step, so that nothing is evaluated twice.
+    rows = gold.select(*keys, marks.alias("_marks")).where(F.size("_marks") > 0)
+    rows = rows.select(*keys, "_marks", F.size("_marks").alias("_n"), F.transform("_marks", lambda m: m["ch"]).alias("_s"))
+    rows = rows.select(
+        *keys,
+        "_marks",
+        "_n",
+        F.concat(pad(BEGIN), "_s", pad(END)).alias("_w"),
+        F.concat(pad("OOO"), F.transform("_s", lambda c: char_type(c, language)), pad("OOO")).alias("_c"),
+        F.concat(pad("UUU"), F.transform("_marks", lambda m, i: F.when(i == 0, "U").when(m["start"], "B").otherwise("O"))).alias("_p"),
     )
-
-
-def _slot(slot: str, i: Column) -> Column:
-    return F.get({"w": "_w", "c": "_c", "p": "_p"}[slot[0]], i + int(slot[1]))
-
-
-def boundary_features(gold: DataFrame, language: str, tag_free: bool = False, include_first: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, pos, start, tag (of a start), features (sorted set) of every decision position of gold sentences."""
-    language = parse_language(language)
-    templates = boundary_templates(language, tag_free)
-    rows = _prepared(gold, language).select(*keys, "_w", "_c", "_p", F.posexplode("_marks").alias("pos", "_mark"))
+    used = sorted({slot for k in templates for slot in BOUNDARY[k]})
+    shifted = [F.slice(f"_{slot[0]}", F.lit(int(slot[1]) + 1), F.col("_n")).alias(slot) for slot in used]
+    cells = rows.select(*keys, F.arrays_zip("_marks", *shifted).alias("_cells"))
+    cells = cells.select(*keys, F.posexplode("_cells").alias("pos", "_cell"))
     if not include_first:
-        rows = rows.where("pos > 0")
-    made = F.array(*(F.concat(F.lit(f"{k}:"), *(_slot(s, F.col("pos")) for s in BOUNDARY[k])) for k in templates))
-    return rows.select(*keys, "pos", F.col("_mark.start").alias("start"), F.col("_mark.pos").alias("tag"), F.array_sort(F.array_distinct(made)).alias("features"))
+        cells = cells.where("pos > 0")
+    made = F.array(*(F.concat(F.lit(f"{k}:"), *(F.col(f"_cell.{slot}") for slot in BOUNDARY[k])) for k in templates))
+    return cells.select(*keys, "pos", F.col("_cell._marks.start").alias("start"), F.col("_cell._marks.pos").alias("tag"), made.alias("features"))
 
 
 def extract(lines: DataFrame, language: str, tsv: bool = False, tag_free: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -78,34 +82,46 @@ def lexicon_lines(lex: DataFrame) -> DataFrame:
     return lex.orderBy("surface").select(F.concat_ws("\t", "surface", tags).alias("line"))
 
 
-def with_context(words: DataFrame, language: str, column: str = "words", keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row a word: keys, word_no, surface, start, n (characters) and, of the sentence, _s (text) and _t (types)."""
-    sized = words.withColumn("_n", F.transform(column, lambda w: F.length(w))).withColumn("_s", F.array_join(column, ""))
-    sized = sized.withColumn("_t", F.transform(chars(F.col("_s")), lambda c: char_type(c, language)))
-    sized = sized.withColumn("_at", F.transform("_n", lambda n, i: F.aggregate(F.slice("_n", 1, i), F.lit(0), lambda a, x: a + x)))
-    rows = sized.select(*keys, "_s", "_t", "_n", "_at", F.posexplode(column).alias("word_no", "surface"))
-    return rows.select(*keys, "word_no", "surface", F.get("_at", F.col("word_no")).alias("start"), F.length("surface").alias("n"), "_s", "_t").where("n > 0")
+def with_context(words: DataFrame, language: str, column: str = "words", keys: tuple[str, ...] = (), extra: str | None = None) -> DataFrame:
+    """One row a word: keys, word_no, surface, start, n (characters), _x (its first and last characters and its neighbours,
+    with their types) and, of an array extra, its element. Empty words have no row."""
+    sized = words.select(*keys, F.col(column).alias("_ws"), F.array_join(column, "").alias("_s"), *([F.col(extra).alias("_e")] if extra else []))
+    sized = sized.select("*", chars(F.col("_s")).alias("_ch"), T.starts_of(F.col("_ws")).alias("_at"))
+    sized = sized.select("*", F.transform("_ch", lambda c: char_type(c, language)).alias("_t"), F.size("_ch").alias("_len"))
+
+    def cell(w: Column, i: Column) -> Column:
+        a = F.get("_at", i)
+        n = F.length(w)
+
+        def near(array: str, place: Column) -> Column:
+            return F.when(place < 0, WORD_BEGIN).when(place >= F.col("_len"), WORD_END).otherwise(F.get(array, place))
+
+        places = {"f": a, "g": a + 1, "k": a + n - 2, "l": a + n - 1} | {f"L{j}": a - j for j in (1, 2, 3)} | {f"R{j}": a + n + j - 1 for j in (1, 2, 3)}
+        both = [near(array, place).alias(kind + name) for name, place in places.items() for kind, array in (("c", "_ch"), ("t", "_t"))]
+        types = F.array_join(F.slice("_t", a + 1, F.least(n, F.lit(TYPES_CAP))), "")
+        return F.struct(i.alias("word_no"), w.alias("surface"), a.alias("start"), n.alias("n"), F.struct(*both, types.alias("types")).alias("_x"), *([F.get("_e", i).alias(extra)] if extra else []))
+
+    cells = sized.select(*keys, F.explode(F.transform("_ws", cell)).alias("_cell")).where("_cell.n > 0")
+    return cells.select(*keys, "_cell.*")
 
 
 def word_features(name: str) -> Column:
     """A word template over with_context rows; null where it doesn't apply."""
-    s, t, a, n = F.col("_s"), F.col("_t"), F.col("start"), F.col("n")
-    char = lambda place: F.when(place < 0, WORD_BEGIN).when(place >= F.length(s), WORD_END).otherwise(F.substring(s, place + 1, F.lit(1)))
-    kind = lambda place: F.when(place < 0, WORD_BEGIN).when(place >= F.length(s), WORD_END).otherwise(F.get(t, place))
-    left, right = (lambda k: a - k), (lambda k: a + n + k - 1)
+    n = F.col("n")
+    char, kind = (lambda place: F.col(f"_x.c{place}")), (lambda place: F.col(f"_x.t{place}"))
     value = {
         "WS": lambda: F.col("surface"),
         "WL": lambda: F.least(n, F.lit(LENGTH_CAP)).cast("string"),
-        "FC": lambda: char(a),
-        "LC": lambda: char(right(0)),
-        "ft": lambda: kind(a),
-        "lt": lambda: kind(right(0)),
-        "TS": lambda: F.array_join(F.slice(t, a + 1, F.least(n, F.lit(TYPES_CAP))), ""),
-        "LB": lambda: F.concat(char(left(2)), char(left(1))),
-        "RB": lambda: F.concat(char(right(1)), char(right(2))),
-        "P2": lambda: F.when(n >= 2, F.concat(char(a), char(a + 1))),
-        "S2": lambda: F.when(n >= 2, F.concat(char(right(-1)), char(right(0)))),
-    }.get(name) or (lambda: (kind if name[0] == "c" else char)((left if name[-2] in "Ll" else right)(int(name[-1]))))
+        "FC": lambda: char("f"),
+        "LC": lambda: char("l"),
+        "ft": lambda: kind("f"),
+        "lt": lambda: kind("l"),
+        "TS": lambda: F.col("_x.types"),
+        "LB": lambda: F.concat(char("L2"), char("L1")),
+        "RB": lambda: F.concat(char("R1"), char("R2")),
+        "P2": lambda: F.when(n >= 2, F.concat(char("f"), char("g"))),
+        "S2": lambda: F.when(n >= 2, F.concat(char("k"), char("l"))),
+    }.get(name) or (lambda: (kind if name[0] == "c" else char)(name[-2].upper() + name[-1]))
     return F.concat(F.lit(f"{name}:"), value())
 
 
@@ -116,10 +132,16 @@ def word_feature_array(features: str = "fast") -> Column:
 
 def extract_stage2(gold: DataFrame, language: str, features: str = "fast", keys: tuple[str, ...] = ()) -> DataFrame:
     """Word instances of tagged gold tokens: keys, word_no, label (tag), features. White-space words have none."""
-    language = parse_language(language)
-    plain = gold.withColumn("_w", F.transform("tokens", lambda t: t["surface"])).withColumn("_g", F.transform("tokens", lambda t: t["pos"]))
-    rows = with_context(plain.withColumn("_gold", F.struct("_g")), language, "_w", (*keys, "_gold"))
-    return rows.where(~is_space(F.col("surface"))).select(*keys, "word_no", F.get(F.col("_gold._g"), F.col("word_no")).alias("label"), word_feature_array(features).alias("features"))
+    plain = gold.select(*keys, F.transform("tokens", lambda t: t["surface"]).alias("_w"), F.transform("tokens", lambda t: t["pos"]).alias("label"))
+    rows = with_context(plain, parse_language(language), "_w", keys, "label")
+    return rows.where(~is_space(F.col("surface"))).select(*keys, "word_no", "label", word_feature_array(features).alias("features"))
+
+
+def feature_counts(instances: DataFrame) -> DataFrame:
+    """The feature vocabulary: (feature, occurrences, instances)."""
+    each = instances.select(F.explode("features").alias("feature"), F.lit(1).alias("o"), F.lit(0).alias("i"))
+    once = instances.select(F.explode(F.array_distinct("features")).alias("feature"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    return each.union(once).groupBy("feature").agg(F.sum("o").alias("occurrences"), F.sum("i").alias("instances"))
 
 
 def feature_lines(rows: DataFrame) -> DataFrame:

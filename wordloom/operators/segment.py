@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ class Compiled:
         t = self.radix = len(codes)
         self.bias = model.bias
         self.types = type_table(self.language)
-        self.char_id = np.zeros(0x110000 + 6, np.int32)
+        self.char_id = np.zeros(0x110000 + 6, np.int64)
         wanted = boundary_templates(self.language)
         uw: list[tuple[int, int, float]] = []
         pairs: list[tuple[int, int, int, float]] = []
@@ -111,23 +112,25 @@ class Compiled:
         for code, k in known.items():
             self.char_id[code] = k
         n = len(known) + 1
-        self.uw = np.zeros((n, 6))
+        # A row a place in the window, so that each gather reads one small table.
+        self.uw = np.zeros((6, n))
         for c, k, w in uw:
-            self.uw[c, k] += w
+            self.uw[k, c] += w
         keys = sorted({a * n + b for a, b, _, _ in pairs})
         self.n_chars, self.pair_keys = n, np.array(keys, np.int64)
-        self.pair_rows = np.zeros((len(keys) + 1, 3))
+        self.pair_rows = np.zeros((3, len(keys) + 1))
         where = {key: i + 1 for i, key in enumerate(keys)}
         for a, b, k, w in pairs:
-            self.pair_rows[where[a * n + b], k] += w
+            self.pair_rows[k, where[a * n + b]] += w
         self.pair_index = None
         if n * n <= 1 << 22:
-            self.pair_index = np.zeros(n * n, np.int32)
+            self.pair_index = np.zeros(n * n, np.int64)
             self.pair_index[self.pair_keys] = np.arange(1, len(keys) + 1)
         self.wc = np.zeros((n, 4, t)) if mixed else None
         for k, c, i, w in mixed:
             self.wc[c, k, i] += w
-        self.typed = typed.reshape(-1)
+        self.typed = typed.reshape(-1) if typed.any() else None
+        self.by_place = [k for k in range(6) if self.uw[k].any()]
         self.tagged = tagged.reshape(27, -1).T.copy() if self.has_tags else None
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,48 +145,52 @@ class Compiled:
         """Bias and all tag-free features at positions 3 .. n - 3 of a padded run of characters."""
         n = len(code) - 5
         c = self.char_id[code]
-        index = np.zeros(n, np.int64)
-        for k in range(6):
-            index = index * self.radix + types[k : n + k]
-        out = self.typed[index] + self.bias
-        u = self.uw[c]
-        for k in range(6):
-            out += u[k : n + k, k]
+        out = np.full(n, self.bias)
+        if self.typed is not None:
+            index = types[:n].copy()
+            for k in range(1, 6):
+                index *= self.radix
+                index += types[k : n + k]
+            out += self.typed[index]
+        for k in self.by_place:
+            out += self.uw[k][c[k : n + k]]
         if len(self.pair_keys):
-            rows = self.pair_rows[self._pairs(c[:-1], c[1:])]
+            row = self._pairs(c[:-1], c[1:])
             for k in range(3):
-                out += rows[k + 1 : n + k + 1, k]
+                out += self.pair_rows[k][row[k + 1 : n + k + 1]]
         if self.wc is not None:
             c2, c3, t2, t3 = c[2 : n + 2], c[3 : n + 3], types[2 : n + 2], types[3 : n + 3]
             out += self.wc[c2, 0, t3] + self.wc[c3, 1, t2] + self.wc[c2, 2, t2] + self.wc[c3, 3, t3]
         return out
 
-    def starts(self, lines: list[str]) -> list[np.ndarray]:
-        """Character offsets at which words start, for each line."""
-        out: list[np.ndarray] = []
-        block: list[str] = []
+    def blocks(self, lines: list[str]) -> Iterator[Block]:
+        """Lines in blocks of about BLOCK characters, with the places where words start."""
+        part: list[str] = []
         size = 0
         for line in lines:
-            block.append(line)
+            part.append(line)
             size += len(line) + 6
             if size >= BLOCK:
-                out += self._block(block)
-                block, size = [], 0
-        return out + self._block(block) if block else out
-
-    def _block(self, lines: list[str]) -> list[np.ndarray]:
-        lengths = np.array([len(x) for x in lines], np.int64)
-        code = np.frombuffer(("\0\0\0" + "\0\0\0\0\0\0".join(lines) + "\0\0\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        first = np.cumsum(lengths + 6) - lengths - 3  # where each line's characters begin
-        for k in range(3):
-            code[first - 3 + k] = SENTINEL[BEGIN[k]]
-            code[first + lengths + k] = SENTINEL[END[k]]
-        types = self.types[code].astype(np.int64)
-        score = self.static(code, types)  # score[j] is of position j + 3
+                yield self._block(part)
+                part, size = [], 0
+        if part:
+            yield self._block(part)
+
+    def _block(self, lines: list[str]) -> Block:
+        block = Block(lines)
+        types = block.types = self.types[block.code].astype(np.int64)
+        score = self.static(block.code, types)  # score[j] is of position j + 3
+        first, lengths = block.first, block.lengths
         if not self.has_tags:
-            hit = np.flatnonzero(score >= 0) + 3
-            at = np.searchsorted(hit, first, "right"), np.searchsorted(hit, first + lengths)
-            return [np.concatenate(([0], hit[a:b] - f)) if n else np.zeros(0, np.int64) for a, b, f, n in zip(*at, first, lengths)]
+            inside = np.zeros(len(block.code) + 1, np.int8)
+            inside[first[lengths > 0]] += 1
+            inside[(first + lengths)[lengths > 0]] -= 1
+            hit = np.zeros(len(block.code), bool)
+            hit[3:-2] = score >= 0
+            hit &= np.cumsum(inside[:-1]) > 0
+            hit[first[lengths > 0]] = True
+            block.starts = np.flatnonzero(hit)
+            return block
         n = len(score)
         t = self.radix
         index = ((types[:n] * t + types[1 : n + 1]) * t + types[2 : n + 2]) * t + types[3 : n + 3]
@@ -192,24 +199,70 @@ class Compiled:
         for state in range(27):
             bits |= (score + self.tagged[index, state] >= 0).astype(np.int64) << state
         decided = bits.tolist()
-        out = []
+        found: list[int] = []
         for f, length in zip(first.tolist(), lengths.tolist()):
-            state, found = 0, [0] if length else []
+            state = 0
+            if length:
+                found.append(f)
             for j in range(f - 2, f + length - 3):  # positions f + 1 .. f + length - 1
                 if decided[j] >> state & 1:
-                    found.append(j + 3 - f)
+                    found.append(j + 3)
                     state = state % 9 * 3 + 1
                 else:
                     state = state % 9 * 3 + 2
-            out.append(np.array(found, np.int64))
-        return out
+        block.starts = np.array(found, np.int64)
+        return block
+
+    def starts(self, lines: list[str]) -> list[np.ndarray]:
+        """Character offsets at which words start, for each line."""
+        return [own for block in self.blocks(lines) for own in block.by_line()]
 
     def words(self, lines: list[str]) -> list[list[str]]:
-        out = []
-        for line, at in zip(lines, self.starts(lines)):
-            at = [*at.tolist(), len(line)]
-            out.append([line[a:b] for a, b in zip(at, at[1:])])
-        return out
+        return [ws for block in self.blocks(lines) for ws in block.lists(block.words()).to_pylist()]
+
+
+class Block:
+    """Lines as one run of code points, three sentinels at both ends of each; starts: where in it words start."""
+
+    def __init__(self, lines: list[str]):
+        self.lengths = np.array([len(x) for x in lines], np.int64)
+        self.text = "".join(lines)
+        code = np.frombuffer(("\0\0\0" + "\0\0\0\0\0\0".join(lines) + "\0\0\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.first = np.cumsum(self.lengths + 6) - self.lengths - 3  # where each line's characters begin
+        for k in range(3):
+            code[self.first - 3 + k] = SENTINEL[BEGIN[k]]
+            code[self.first + self.lengths + k] = SENTINEL[END[k]]
+        self.code, self.types, self.starts = code, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def edges(self) -> np.ndarray:
+        """Numbers of the words at which lines begin, and the number of all."""
+        return np.append(np.searchsorted(self.starts, self.first), len(self.starts))
+
+    def by_line(self) -> list[np.ndarray]:
+        at = self.edges()
+        return [self.starts[a:b] - f for a, b, f in zip(at, at[1:], self.first)]
+
+    def words(self) -> pa.StringArray:
+        """All words, as offsets into the text's bytes: words tile their lines, so nothing is copied."""
+        data = self.text.encode("utf-8", "surrogatepass")
+        size = (self.code < 0x110000).astype(np.int32)
+        if len(data) > len(self.text):
+            size += ((self.code >= 0x80) & (self.code < 0x110000)).astype(np.int32) + ((self.code >= 0x800) & (self.code < 0x110000)) + ((self.code >= 0x10000) & (self.code < 0x110000))
+        before = np.cumsum(size, dtype=np.int32) - size
+        offsets = np.append(before[self.starts], np.int32(len(data))).astype(np.int32)
+        return pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(offsets), pa.py_buffer(data))
+
+    def lists(self, values: pa.Array) -> pa.ListArray:
+        """An array a line of what is an element a word."""
+        return pa.ListArray.from_arrays(pa.array(self.edges().astype(np.int32)), values)
+
+
+def masked(column: pa.Array, lines: list, lists: list[pa.ListArray], kind: pa.DataType) -> pa.Array:
+    """The lists of all blocks, null where the line is."""
+    whole = pa.concat_arrays(lists) if lists else pa.array([], kind)
+    if not column.null_count:
+        return whole
+    return pc.if_else(pc.is_valid(column), whole, pa.nulls(len(lines), whole.type))
 
 
 class Segmenter:
@@ -247,11 +300,8 @@ class Segmenter:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 lines = b.column(at).to_pylist()
-                words = compiled.value.words([x or "" for x in lines])
-                offsets = np.cumsum([0, *map(len, words)]).astype(np.int32)
-                flat = pa.array([w for ws in words for w in ws], pa.string())
-                mask = pa.array([x is None for x in lines], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), flat, mask=mask)], names=[*names, into])
+                found = [block.lists(block.words()) for block in compiled.value.blocks([x or "" for x in lines])]
+                yield pa.RecordBatch.from_arrays([*b.columns, masked(b.column(at), lines, found, pa.list_(pa.string()))], names=[*names, into])
 
         return source.mapInArrow(run, schema)
 
@@ -338,15 +388,31 @@ def merged_scores(df: DataFrame, line: Column, model: StumpModel, language: str,
             at = first + k
             row = F.lag(f"x{family}", -at).over(w) if at < 0 else F.lead(f"x{family}", at).over(w) if at else F.col(f"x{family}")
             total = total + F.coalesce(F.get(row, F.lit(k)), F.lit(0.0))
-    mixed = [k for k in boundary_templates(language, tag_free=True) if k.startswith("WC") and any(f.startswith(f"{k}:") for f in model.weights)]
-    place = {"w2": F.lag("ch").over(w), "c2": F.lag("ctype").over(w), "w3": F.col("ch"), "c3": F.col("ctype")}
-    out = cells.select(*keys, (F.col("_q") - 3).alias("pos"), "ch", "_n", total.alias("score"), *(F.concat(*(place[s] for s in BOUNDARY[k])).alias(f"_{k}") for k in mixed))
-    for k in mixed:
-        own = [(f[len(k) + 1 :], w_) for f, w_ in model.weights.items() if f.startswith(f"{k}:")]
-        out = out.join(F.broadcast(spark.createDataFrame(own, f"v{k} string, x{k} double")), F.col(f"_{k}") == F.col(f"v{k}"), "left").withColumn("score", F.col("score") + F.coalesce(f"x{k}", F.lit(0.0)))
+    out = cells.select(*keys, (F.col("_q") - 3).alias("pos"), "ch", "ctype", F.lag("ch").over(w).alias("_ch2"), F.lag("ctype").over(w).alias("_ct2"), "_n", total.alias("score"))
+    rows = mixed_weights(spark, model, language)
+    if rows is not None:
+        rows, kinds = F.broadcast(rows), F.array(*map(F.lit, type_codes(language)))  # at most the model file
+        kind = lambda c: (F.array_position(kinds, F.col(c)) - 1).cast("int")
+        for side, column in (("own", "ch"), ("left", "_ch2")):
+            out = out.join(rows.select(F.col("ch").alias(f"_k{side}"), F.col("x").alias(f"_x{side}")), F.col(column) == F.col(f"_k{side}"), "left")
+        for slot, side, of in ((0, "left", "ctype"), (1, "own", "_ct2"), (2, "left", "_ct2"), (3, "own", "ctype")):
+            out = out.withColumn("score", F.col("score") + F.coalesce(F.get(F.get(f"_x{side}", F.lit(slot)), kind(of)), F.lit(0.0)))
     return out.where((F.col("pos") > 0) & (F.col("pos") < F.col("_n"))).select(*keys, "pos", "ch", "score")
 
 
+def mixed_weights(spark, model: StumpModel, language: str) -> DataFrame | None:
+    """(ch, x): one row for each character (or sentinel) of a WC feature, with its weights by template and type id."""
+    codes, rows = type_codes(language), {}
+    for f, w in model.weights.items():
+        name, colon, value = f.partition(":")
+        slots = boundary_templates(language).get(name) if colon and name.startswith("WC") else None
+        for i, code in enumerate(codes) if slots else ():
+            ch = value[: -len(code)] if slots[0][0] == "w" and value.endswith(code) else value[len(code) :] if slots[0][0] == "c" and value.startswith(code) else ""
+            if len(ch) == 1 or ch in SENTINEL:
+                rows.setdefault(ch, [[0.0] * len(codes) for _ in range(4)])[int(name[2]) - 1][i] += w
+    return spark.createDataFrame(list(rows.items()), "ch string, x array<array<double>>") if rows else None
+
+
 def words_of(rows: DataFrame, scored: DataFrame, *keys: str) -> DataFrame:
     """Words from boundary decisions: keys, word_no, start, word."""
     marks = rows.select(*keys, "pos", "ch").join(scored.select(*keys, "pos", "score"), [*keys, "pos"], "left")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import threading
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.operators import evaluate
 from wordloom.operators.features import extract_stage1, extract_stage2, gold_tokens, lexicon
+from wordloom.sources.scratch import shared_dir
 from wordloom.sources.models import DOMINANCE, PerceptronModel, StumpModel, TwoStageModel
 
 #: Boosting rounds between checkpoints of the instance weights.
@@ -18,10 +20,10 @@ CUT = 8
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder of spark.checkpoint.dir (or one of this process where that is unset)."""
+    """df with its lineage cut, in the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wordloom-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -32,14 +34,19 @@ def feature_errors(instances: DataFrame, weight: str = "d") -> DataFrame:
 
 def best_stump(instances: DataFrame, weight: str = "d") -> tuple[str, float, float] | None:
     """(feature, error rate, weight sum) farthest from 1/2, the bucket unless a feature is strictly farther; the first by
-    name of equals. None if the weights don't add up to a positive number."""
-    total, positive = instances.agg(F.sum(weight), F.sum(F.when(F.col("label") > 0, F.col(weight)).otherwise(0.0))).first()
-    if not total or not math.isfinite(total) or total <= 0:
+    name of equals. None if the weights don't add up to a positive number.
+
+    One job: the bucket is counted as a feature of every instance, and gives the weight sums of all and of label 1."""
+    w, label = F.col(weight), F.col("label")
+    each = instances.select(F.explode(F.concat(F.array(F.lit("")), F.filter("features", lambda f: f != ""))).alias("feature"), w.alias("w"), label.alias("y"))
+    sums = each.groupBy("feature").agg((-F.sum(F.col("w") * F.col("y"))).alias("error"), F.sum("w").alias("total"), F.sum(F.when(F.col("y") > 0, F.col("w")).otherwise(0.0)).alias("positive"))
+    whole = sums.where("feature = ''").select(F.col("total").alias("n"), F.col("positive").alias("p"))  # one row
+    rate = F.when(F.col("feature") == "", F.col("p") / F.col("n")).otherwise((F.col("error") + F.col("p")) / F.col("n"))
+    far = sums.crossJoin(F.broadcast(whole)).select("feature", rate.alias("rate"), "n")
+    row = far.orderBy(F.abs(0.5 - F.col("rate")).desc_nulls_last(), "feature").limit(1).first()
+    if row is None or not row[2] or not math.isfinite(row[2]) or row[2] <= 0:
         return None
-    rate = (F.col("error") + F.lit(float(positive))) / F.lit(float(total))
-    row = feature_errors(instances, weight).where("feature <> ''").select("feature", rate.alias("rate")).orderBy(F.abs(0.5 - F.col("rate")).desc(), "feature").limit(1).first()
-    base = positive / total
-    return (row[0], row[1], total) if row and abs(0.5 - row[1]) > abs(0.5 - base) else ("", base, total)
+    return tuple(row)
 
 
 def train_stumps(instances: DataFrame, threshold: float = 0.01, iterations: int = 100, model: StumpModel | None = None, cancel: threading.Event | None = None) -> StumpModel:
@@ -47,7 +54,7 @@ def train_stumps(instances: DataFrame, threshold: float = 0.01, iterations: int
 
     A model given is kept and added to. Its scores set the first weights only if it is the learner's own; like a file
     loaded after the instances, it leaves them even."""
-    names = [r[0] for r in instances.select(F.explode("features").alias("f")).distinct().orderBy("f").collect()]
+    names = [r[0] for r in instances.select(F.explode("features").alias("f")).distinct().orderBy("f").collect()]  # the model's size
     weights = {"": 0.0} | {f: 0.0 for f in names if f}
     if model:
         weights.update(model.weights)
@@ -60,13 +67,14 @@ def train_stumps(instances: DataFrame, threshold: float = 0.01, iterations: int
         best = best_stump(data)
         if best is None or abs(0.5 - best[1]) < threshold:
             break
-        feature, rate, _ = best
+        feature, rate, total = best
         alpha = 0.5 * math.log(max(1.0 - rate, 1e-10) / max(rate, 1e-10))
         weights[feature] += alpha
         # The bucket is in no instance, so its stump says -1 everywhere.
         says = F.when(F.array_contains("features", feature), 1).otherwise(-1) if feature else F.lit(-1)
         data = data.withColumn("d", F.when(F.col("label") * says < 0, F.col("d") * math.exp(alpha)).otherwise(F.col("d") / math.exp(alpha)))
-        total = data.agg(F.sum("d")).first()[0]
+        # The new weights' sum: what was wrong grows, what was right shrinks.
+        total = total * (rate * math.exp(alpha) + (1 - rate) / math.exp(alpha))
         if total > 0:
             data = data.withColumn("d", F.col("d") / total)
         if turn % CUT == CUT - 1:
@@ -74,6 +82,22 @@ def train_stumps(instances: DataFrame, threshold: float = 0.01, iterations: int
     return StumpModel(weights)
 
 
+def reweighted(instances: DataFrame, feature: str, alpha: float, weight: str = "d") -> DataFrame:
+    """Instance weights after a stump of this alpha, adding up to 1."""
+    says = F.when(F.array_contains("features", feature), 1).otherwise(-1)
+    d = F.when(F.col("label") * says < 0, F.col(weight) * math.exp(alpha)).otherwise(F.col(weight) / math.exp(alpha))
+    rows = instances.withColumn(weight, d)
+    total = rows.agg(F.sum(weight)).first()[0] or 1.0
+    return rows.withColumn(weight, F.col(weight) / total)
+
+
+def averaged(updates: DataFrame, steps: int) -> DataFrame:
+    """(feature, class, delta, t) of a perceptron's updates -> (feature, class, weight): the mean over all steps, without
+    zeros. An update at t holds for the steps after it."""
+    sums = updates.groupBy("feature", "class").agg((F.sum(F.col("delta") * (F.lit(steps) - F.col("t"))) / steps).alias("weight"))
+    return sums.where("weight <> 0")
+
+
 def stump_predictions(instances: DataFrame, model: StumpModel) -> DataFrame:
     """Adds predicted (1 or -1): the sign of bias and the weights of the distinct features."""
     table = F.broadcast(instances.sparkSession.createDataFrame([(model.weights,)], "w map<string,double>"))
@@ -128,18 +152,80 @@ class Perceptron:
         return self.model
 
 
-def train_perceptron(instances: DataFrame, epochs: int = 10, order: tuple[str, ...] = (), model: PerceptronModel | None = None) -> DataFrame:
+def add_instance(instances: DataFrame, label: int, features: list[str]) -> DataFrame:
+    """Instances with one more, of weight 1; features that are new are appended to the vocabulary by training."""
+    row = instances.sparkSession.createDataFrame([(label, features)], "label int, features array<string>")
+    return instances.select(F.col("label").cast("int").alias("label"), "features").union(row)
+
+
+def perceptron_predictions(instances: DataFrame, model: PerceptronModel) -> DataFrame:
+    """Adds predicted: the class of the greatest sum over distinct features, the first by name of equals; the empty text
+    without classes."""
+    shared = instances.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in instances.columns if c != "predicted"]
+    source = instances.select(*names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", predicted string"
+
+    def run(batches):
+        for b in batches:
+            said = [shared.value.predict(sorted(set(f or ()))) for f in b.column(names.index("features")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], names=[*names, "predicted"])
+
+    return source.mapInArrow(run, schema)
+
+
+def perceptron_metrics(instances: DataFrame, model: PerceptronModel) -> DataFrame:
+    """One row of accuracy and macro precision and recall on instances with features."""
+    rows = perceptron_predictions(instances.where(F.size("features") > 0).select(F.col("label").cast("string").alias("label"), "features"), model)
+    return evaluate.macro_metrics(rows, "label", "predicted", model.classes)
+
+
+def train_perceptron(instances: DataFrame, epochs: int = 10, order: tuple[str, ...] = (), model: PerceptronModel | None = None, cancel: threading.Event | None = None) -> DataFrame:
     """(feature, class, weight) rows of the averaged perceptron. Learning is sequential by definition: all instances are
-    sorted by ``order`` into one task (use train_perceptron_mixed for corpora beyond one task)."""
+    sorted by ``order`` into one task (use train_perceptron_mixed for corpora beyond one task).
+
+    cancel, if it is set, ends the learning; what was learned until then is averaged and kept."""
+    signal = f"{shared_dir(instances.sparkSession)}/cancel-{uuid.uuid4().hex}" if cancel is not None else None
+    if cancel is not None:
+        _watch(instances.sparkSession, cancel, signal)
     rows = instances.select(F.struct(*order).alias("o") if order else F.lit(0).alias("o"), F.col("label").cast("string").alias("label"), "features")
 
     def fit(t: pa.Table) -> pa.Table:
         found = sorted(t.to_pylist(), key=lambda r: tuple(r["o"].values()) if order else 0)
-        return _weight_table(Perceptron(model).fit([(r["label"], r["features"]) for r in found], epochs))
+        return _weight_table(Perceptron(model).fit([(r["label"], r["features"]) for r in found], epochs, _Signal(signal) if signal else None))
 
     return rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(fit, "feature string, class string, weight double")
 
 
+def _watch(spark, cancel: threading.Event, path: str) -> None:
+    """Put a file into the shared folder when cancel is set: the task looks for it."""
+
+    def put() -> None:
+        cancel.wait()
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p).close()
+
+    threading.Thread(target=put, daemon=True).start()
+
+
+class _Signal:
+    """The task's side of an event: is the file there? It looks every LOOK instances."""
+
+    LOOK = 256
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        self.fs, self.path = fs.FileSystem.from_uri(path)
+        self.asked, self.found = 0, False
+
+    def is_set(self) -> bool:
+        if not self.found and self.asked % self.LOOK == 0:
+            self.found = self.fs.get_file_info(self.path).is_file
+        self.asked += 1
+        return self.found
+
+
 def _weight_table(m: PerceptronModel) -> pa.Table:
     rows = [(f, c, w) for f in sorted(m.weights) for c, w in m.weights[f].items()] + [("", c, 0.0) for c in m.classes]
     return pa.table({"feature": [r[0] for r in rows], "class": [r[1] for r in rows], "weight": pa.array([r[2] for r in rows], pa.float64())}, schema=pa.schema([("feature", pa.string()), ("class", pa.string()), ("weight", pa.float64())]))
@@ -199,10 +285,21 @@ def boundary_labels(instances: DataFrame) -> DataFrame:
     return instances.withColumn("label", F.when(F.col("label").cast("int") == 1, "B").otherwise("O"))
 
 
-def train_two_stage(lines: DataFrame, language: str, order: tuple[str, ...], tsv: bool = False, features: str = "fast", epochs: int = 10, dominance: float = DOMINANCE) -> TwoStageModel:
+def train_two_stage(lines: DataFrame, language: str, order: tuple[str, ...], tsv: bool = False, features: str = "fast", epochs: int = 10, dominance: float = DOMINANCE, cancel: threading.Event | None = None) -> TwoStageModel:
     """Both stages and the lexicon from a tagged corpus; order: columns that give the order of the lines."""
+    return _two_stage(lines, language, order, tsv, features, epochs, dominance, cancel)[0]
+
+
+def train_two_stage_measured(lines: DataFrame, language: str, order: tuple[str, ...], tsv: bool = False, features: str = "fast", epochs: int = 10, dominance: float = DOMINANCE, cancel: threading.Event | None = None) -> tuple[TwoStageModel, DataFrame, DataFrame]:
+    """The model and a row of metrics of each stage on its instances."""
+    model, first, second = _two_stage(lines, language, order, tsv, features, epochs, dominance, cancel)
+    gold = gold_tokens(lines, tsv, True)
+    return model, perceptron_metrics(extract_stage1(lines, language, tsv, order), first), perceptron_metrics(extract_stage2(gold, language, features, order), second)
+
+
+def _two_stage(lines, language, order, tsv, features, epochs, dominance, cancel) -> tuple[TwoStageModel, PerceptronModel, PerceptronModel]:
     gold = gold_tokens(lines, tsv, True)
-    first = perceptron_of(train_perceptron(extract_stage1(lines, language, tsv, order), epochs, (*order, "pos")))
-    second = perceptron_of(train_perceptron(extract_stage2(gold, language, features, order), epochs, (*order, "word_no")))
+    first = perceptron_of(train_perceptron(extract_stage1(lines, language, tsv, order), epochs, (*order, "pos"), cancel=cancel))
+    second = perceptron_of(train_perceptron(extract_stage2(gold, language, features, order), epochs, (*order, "word_no"), cancel=cancel))
     lex = {r["surface"]: [(t["tag"], t["count"]) for t in r["tags"]] for r in lexicon(gold).collect()}
-    return TwoStageModel(first.collapsed(), lex, second, dominance)
+    return TwoStageModel(first.collapsed(), lex, second, dominance), first, second

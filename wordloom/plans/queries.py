@@ -103,7 +103,9 @@ for _language in ("japanese", "chinese", "korean", "english"):
 
 @query(f"SELECT ctype, count(*) AS n FROM {chars_sql('documents', 'doc_id', 'text', 'english')} GROUP BY ctype")
 def q_char_type_hist(spark, sf_dir):
-    return segment.char_rows(table(spark, sf_dir, "documents"), F.col("text"), "english", "doc_id").groupBy("ctype").agg(F.count(F.lit(1)).alias("n"))
+    # Counted by character first: only the distinct ones are classified.
+    counts = table(spark, sf_dir, "documents").select(F.explode(T.chars(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(char_type("ch", "english").alias("ctype")).agg(F.sum("n").alias("n"))
 
 
 def _names(spark, sf_dir):
@@ -231,6 +233,34 @@ def made_sql(language: str, tag_free: bool) -> str:
     return "list_sort(list_distinct([" + ", ".join(f"'{k}:' || {' || '.join(v)}" for k, v in boundary_templates(language, tag_free).items()) + "]))"
 
 
+def digest(*parts) -> object:
+    """A 32-bit number of a row's text, to be added up."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def digest_sql(*parts: str) -> str:
+    return f"CAST('0x' || left(md5(concat_ws('|', {', '.join(parts)})), 8) AS BIGINT)"
+
+
+def by_line(rows: DataFrame, *parts) -> DataFrame:
+    """doc_id, line_no, n (rows), digest: what a line's rows say, whole tables in a row a line."""
+    return rows.groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("n"), F.sum(digest(*parts)).alias("digest"))
+
+
+def by_line_sql(source: str, *parts: str) -> str:
+    return f"SELECT doc_id, line_no, count(*) AS n, CAST(sum({digest_sql(*parts)}) AS BIGINT) AS digest FROM {source} GROUP BY doc_id, line_no"
+
+
+def _extract_documents(name, language, tag_free):
+    def run(spark, sf_dir):
+        lines = corpus.table_lines(table(spark, sf_dir, "documents"), "text", "doc_id")
+        rows = features.extract(lines, language, False, tag_free, ("doc_id", "line_no"))
+        return by_line(rows, "pos", "label", F.array_join("features", "\t"))
+
+    cells = gold_chars_sql(LINES_SQL, "doc_id, line_no", "[x FOR x IN string_split(line, ' ') IF x <> '']", language)
+    query(by_line_sql(f"(SELECT * FROM {cells} WHERE pos > 0)", "pos", "CASE WHEN start THEN 1 ELSE -1 END", f"array_to_string({made_sql(language, tag_free)}, chr(9))"), name)(run)
+
+
 def _extract(name, source_sql, key, tokens_sql, frame, language, tsv, tag_free):
     def run(spark, sf_dir):
         rows = features.extract(frame(spark, sf_dir), language, tsv, tag_free, (key,))
@@ -250,35 +280,47 @@ def _inline(rows):
 _SPACE_TOKENS = "[x FOR x IN string_split(p_name, ' ') IF x <> '']"
 _TSV_TOKENS = "[x FOR x IN string_split(line, chr(9)) IF x <> '']"
 _tsv_values = values(list(enumerate(samples.TSV_CORPUS)), "id", "line")
-_extract("q_extract_boundary", "part", "p_partkey", _SPACE_TOKENS, _name_lines, "english", False, False)
-_extract("q_extract_tag_free", "part", "p_partkey", _SPACE_TOKENS, _name_lines, "japanese", False, True)
+_extract_documents("q_extract_boundary", "english", False)
+_extract_documents("q_extract_tag_free", "japanese", True)
+_extract("q_extract_names", "part", "p_partkey", _SPACE_TOKENS, _name_lines, "japanese", False, False)
 _extract("q_extract_tsv", _tsv_values, "id", _TSV_TOKENS, _inline(samples.TSV_CORPUS), "korean", True, False)
 
-_corpus_values = values(list(enumerate(samples.TAGGED_CORPUS)), "id", "line")
-_GOLD_SQL = f"""(SELECT id, t AS word_no, word AS surface, pos, start, n FROM (
-  SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS t, word, pos, len(word) AS n, coalesce(sum(len(word)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (
-    SELECT id, k, CASE WHEN contains(tok, '/') THEN regexp_extract(tok, '^(.*)/[^/]*$', 1, 's') ELSE tok END AS word,
-           CASE WHEN contains(tok, '/') AND regexp_extract(tok, '([^/]*)$', 1) IN ({', '.join(map(quoted, T.UPOS))}) THEN regexp_extract(tok, '([^/]*)$', 1) ELSE 'X' END AS pos
-    FROM (SELECT id, ts[k] AS tok, k FROM (SELECT id, ts, unnest(range(1, len(ts) + 1)) AS k FROM (SELECT id, [x FOR x IN string_split(trim(line), ' ') IF x <> ''] AS ts FROM {_corpus_values}))))
-  WHERE word <> ''))"""
+_UPOS_SQL = "[" + ", ".join(map(quoted, T.UPOS)) + "]"
+_corpus_values = values([(-1, i, x) for i, x in enumerate(samples.TAGGED_CORPUS)], "doc_id", "line_no", "line")
+#: Lines of a tagged corpus: all words of documents with tags by length, first character and line, and the samples.
+_TAGGED_LINES = f"""(SELECT doc_id, line_no, array_to_string([w || '/' || {_UPOS_SQL}[(len(w) * 7 + unicode(w) + line_no % 3) % 17 + 1] FOR w IN string_split(line, ' ') IF w <> ''], ' ') AS line FROM {LINES_SQL}
+  UNION ALL SELECT doc_id, line_no, line FROM {_corpus_values})"""
+_WORD_OF = "CASE WHEN contains(tok, '/') THEN regexp_extract(tok, '^(.*)/[^/]*$', 1, 's') ELSE tok END"
+_TAG_OF = f"CASE WHEN contains(tok, '/') AND regexp_extract(tok, '([^/]*)$', 1) IN ({', '.join(map(quoted, T.UPOS))}) THEN regexp_extract(tok, '([^/]*)$', 1) ELSE 'X' END"
+_GOLD_SQL = f"""(SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) - 1 AS word_no, word AS surface, pos, len(word) AS n, coalesce(sum(len(word)) OVER (PARTITION BY doc_id, line_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (
+    SELECT doc_id, line_no, k, {_WORD_OF} AS word, {_TAG_OF} AS pos
+    FROM (SELECT doc_id, line_no, ts[k] AS tok, k FROM (SELECT doc_id, line_no, ts, unnest(range(1, len(ts) + 1)) AS k FROM (SELECT doc_id, line_no, [x FOR x IN string_split(trim(line), ' ') IF x <> ''] AS ts FROM {_TAGGED_LINES})))) WHERE word <> '')"""
 
 
-def _gold(spark):
-    return features.gold_tokens(_inline(samples.TAGGED_CORPUS)(spark, ""), False, True)
+def _tagged_lines(spark, sf_dir):
+    lines = corpus.table_lines(table(spark, sf_dir, "documents"), "text", "doc_id")
+    tag = lambda w: F.element_at(F.array(*map(F.lit, T.UPOS)), ((F.length(w) * 7 + F.ascii(w) + F.col("line_no") % 3) % 17 + 1).cast("int"))
+    tagged = lines.select("doc_id", "line_no", F.array_join(F.transform(T.tokens(F.col("line")), lambda w: F.concat(w, F.lit("/"), tag(w))), " ").alias("line"))
+    own = spark.createDataFrame([(-1, i, x) for i, x in enumerate(samples.TAGGED_CORPUS)], "doc_id long, line_no int, line string")
+    return tagged.union(own)
 
 
-@query(f"SELECT id, word_no, surface, pos FROM {_GOLD_SQL}")
+def _gold(spark, sf_dir):
+    return features.gold_tokens(_tagged_lines(spark, sf_dir), False, True)
+
+
+@query(f"SELECT doc_id, line_no, string_agg(surface || chr(9) || pos, chr(9) ORDER BY word_no) AS tokens FROM {_GOLD_SQL} GROUP BY doc_id, line_no")
 def q_gold_tokens(spark, sf_dir):
-    return _gold(spark).select("id", F.posexplode("tokens").alias("word_no", "t")).select("id", "word_no", "t.surface", "t.pos")
+    return _gold(spark, sf_dir).select("doc_id", "line_no", F.array_join(F.transform("tokens", lambda t: F.concat_ws("\t", t["surface"], t["pos"])), "\t").alias("tokens"))
 
 
-_gold_list = f"(SELECT id, list(surface ORDER BY word_no) AS ts, list(pos ORDER BY word_no) AS tags FROM {_GOLD_SQL} GROUP BY id)"
+_gold_list = f"(SELECT doc_id, line_no, list(surface ORDER BY word_no) AS ts FROM {_GOLD_SQL} GROUP BY doc_id, line_no)"
 
 
-@query(f"SELECT id, pos, CASE WHEN start THEN 'B' ELSE 'O' END AS label, array_to_string({made_sql('japanese', False)}, chr(9)) AS features FROM {gold_chars_sql(_gold_list, 'id', 'ts', 'japanese')}")
+@query(by_line_sql(gold_chars_sql(_gold_list, "doc_id, line_no", "ts", "japanese"), "pos", "CASE WHEN start THEN 'B' ELSE 'O' END", f"array_to_string({made_sql('japanese', False)}, chr(9))"))
 def q_extract_stage1(spark, sf_dir):
-    rows = features.extract_stage1(_inline(samples.TAGGED_CORPUS)(spark, sf_dir), "japanese", keys=("id",))
-    return rows.select("id", "pos", "label", F.array_join("features", "\t").alias("features"))
+    rows = features.extract_stage1(_tagged_lines(spark, sf_dir), "japanese", keys=("doc_id", "line_no"))
+    return by_line(rows, "pos", "label", F.array_join("features", "\t"))
 
 
 _LEXICON_SQL = f"(SELECT surface, pos, count(*) AS n FROM {_GOLD_SQL} GROUP BY surface, pos)"
@@ -287,14 +329,14 @@ _LEXICON_SQL = f"(SELECT surface, pos, count(*) AS n FROM {_GOLD_SQL} GROUP BY s
 @query(f"SELECT surface, string_agg(pos || ':' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, pos) AS tags FROM {_LEXICON_SQL} GROUP BY surface")
 def q_lexicon(spark, sf_dir):
     tags = F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["tag"], t["count"].cast("string"))), ",")
-    return features.lexicon(_gold(spark)).select("surface", tags.alias("tags"))
+    return features.lexicon(_gold(spark, sf_dir)).select("surface", tags.alias("tags"))
 
 
-@query(f"SELECT surface, CASE WHEN count(*) = 1 OR max(n) >= 0.6 * sum(n) THEN arg_max(pos, n) END AS fixed FROM {_LEXICON_SQL} GROUP BY surface")
+@query(f"SELECT surface, CASE WHEN count(*) = 1 OR max(n) >= 0.6 * sum(n) THEN string_agg(pos, ',' ORDER BY n DESC, pos)[1:instr(string_agg(pos, ',' ORDER BY n DESC, pos) || ',', ',') - 1] END AS fixed FROM {_LEXICON_SQL} GROUP BY surface")
 def q_dominance(spark, sf_dir):
     total = F.aggregate("tags", F.lit(0), lambda a, t: a + t["count"])
     first = F.col("tags")[0]
-    return features.lexicon(_gold(spark)).select("surface", F.when((F.size("tags") == 1) | (first["count"] >= 0.6 * total), first["tag"]).alias("fixed"))
+    return features.lexicon(_gold(spark, sf_dir)).select("surface", F.when((F.size("tags") == 1) | (first["count"] >= 0.6 * total), first["tag"]).alias("fixed"))
 
 
 def word_sql(name: str, language: str) -> str:
@@ -329,14 +371,13 @@ def word_sql(name: str, language: str) -> str:
 
 def _word_features(name, which):
     def run(spark, sf_dir):
-        rows = features.extract_stage2(_gold(spark), "japanese", which, ("id",))
-        return rows.select("id", "word_no", "label", F.array_join("features", "\t").alias("features"))
+        rows = features.extract_stage2(_gold(spark, sf_dir), "japanese", which, ("doc_id", "line_no"))
+        return by_line(rows, "word_no", "label", F.array_join("features", "\t"))
 
     listed = ", ".join(word_sql(k, "japanese") for k in WORD if k in WORD_SETS[which])
-    query(
-        f"SELECT id, word_no, pos AS label, array_to_string([x FOR x IN [{listed}] IF x IS NOT NULL], chr(9)) AS features FROM {_GOLD_SQL} JOIN (SELECT id, string_agg(surface, '' ORDER BY word_no) AS s FROM {_GOLD_SQL} GROUP BY id) USING (id) WHERE NOT regexp_full_match(surface, '\\s+')",
-        name,
-    )(run)
+    # Words near a line's start and end apart from the text, so that SQL needn't count characters from the line's start for each.
+    source = f"(SELECT * FROM {_GOLD_SQL} JOIN (SELECT doc_id, line_no, string_agg(surface, '' ORDER BY word_no) AS s FROM {_GOLD_SQL} GROUP BY doc_id, line_no) USING (doc_id, line_no) WHERE NOT regexp_full_match(surface, '\\s+'))"
+    query(by_line_sql(source, "word_no", "pos", f"array_to_string([x FOR x IN [{listed}] IF x IS NOT NULL], chr(9))"), name)(run)
 
 
 _word_features("q_word_features_fast", "fast")
@@ -349,30 +390,38 @@ _word_features("q_word_features_full", "full")
 _lexicon_values = values([(s, samples.TWO_STAGE.fixed(s), ",".join(sorted(t for t, _ in tags if t in samples.CLASSIFIER.classes))) for s, tags in samples.TWO_STAGE.lexicon.items()], "surface", "fixed", "candidates")
 _class_values = values([(f, c, w) for f, own in samples.CLASSIFIER.weights.items() for c, w in own.items()], "feature", "class", "weight")
 _used = [k for k in WORD if any(f.startswith(f"{k}:") for f in samples.CLASSIFIER.weights)]
-_POS_SQL = f"""WITH words AS (SELECT p_partkey, word_no, word AS surface, start, len(word) AS n, p_name AS s FROM {words_sql('part', 'p_partkey', 'p_name', samples.POINTWISE)} JOIN part USING (p_partkey)),
+_POS_SQL = f"""WITH words AS (SELECT doc_id, line_no, word_no, word AS surface, start, len(word) AS n, line AS s FROM {words_sql(LINES_SQL, 'doc_id, line_no', 'line', samples.POINTWISE)} JOIN {LINES_SQL} USING (doc_id, line_no)),
 known AS (SELECT w.*, fixed, candidates FROM words w LEFT JOIN {_lexicon_values} USING (surface)),
 asked AS (SELECT *, CASE WHEN coalesce(candidates, '') = '' THEN {samples.CLASSIFIER.classes!r} ELSE string_split(candidates, ',') END AS options FROM known WHERE fixed IS NULL),
-hits AS (SELECT p_partkey, word_no, class, sum(weight) AS score FROM (SELECT p_partkey, word_no, unnest([{', '.join(word_sql(k, 'english') for k in _used)}]) AS feature FROM asked) JOIN {_class_values} USING (feature) GROUP BY ALL),
-ranked AS (SELECT p_partkey, word_no, surface, class, row_number() OVER (PARTITION BY p_partkey, word_no ORDER BY coalesce(score, 0) DESC, class) AS r FROM (SELECT p_partkey, word_no, surface, unnest(options) AS class FROM asked) LEFT JOIN hits USING (p_partkey, word_no, class))
-SELECT p_partkey, word_no, surface, fixed AS pos FROM known WHERE fixed IS NOT NULL UNION ALL SELECT p_partkey, word_no, surface, class FROM ranked WHERE r = 1"""
+hits AS (SELECT doc_id, line_no, word_no, class, sum(weight) AS score FROM (SELECT doc_id, line_no, word_no, unnest([{', '.join(word_sql(k, 'english') for k in _used)}]) AS feature FROM asked) JOIN {_class_values} USING (feature) GROUP BY ALL),
+ranked AS (SELECT doc_id, line_no, word_no, surface, class, row_number() OVER (PARTITION BY doc_id, line_no, word_no ORDER BY coalesce(score, 0) DESC, class) AS r FROM (SELECT doc_id, line_no, word_no, surface, unnest(options) AS class FROM asked) LEFT JOIN hits USING (doc_id, line_no, word_no, class))
+SELECT doc_id, line_no, word_no, surface, fixed AS pos FROM known WHERE fixed IS NOT NULL UNION ALL SELECT doc_id, line_no, word_no, surface, class FROM ranked WHERE r = 1"""
+
+
+def _tagged_documents(spark, sf_dir):
+    lines = corpus.table_lines(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return tagger.segment_with_pos(lines, samples.TWO_STAGE, "english")
 
 
-@query(_POS_SQL)
+@query(f"SELECT pos, count(*) AS n, count(DISTINCT surface) AS surfaces FROM ({_POS_SQL}) GROUP BY pos")
 def q_pos_tags(spark, sf_dir):
-    words = segment.Segmenter(samples.POINTWISE, "english").segment(_names(spark, sf_dir), "p_name")
-    return tagger.tag_words(words, samples.TWO_STAGE, "english", "words", ("p_partkey",))
+    words = _tagged_documents(spark, sf_dir).select(F.explode("tokens").alias("t")).groupBy("t.pos", "t.surface").agg(F.count(F.lit(1)).alias("c"))
+    return words.groupBy("pos").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("surfaces"))
 
 
-@query(f"SELECT p_partkey, string_agg(surface || '/' || pos, ' ' ORDER BY word_no) AS line FROM ({_POS_SQL}) GROUP BY p_partkey")
+@query(f"SELECT doc_id, line_no, string_agg(surface || '/' || pos, ' ' ORDER BY word_no) AS line FROM ({_POS_SQL}) GROUP BY doc_id, line_no")
 def q_segment_with_pos(spark, sf_dir):
-    out = tagger.segment_with_pos(_names(spark, sf_dir), samples.TWO_STAGE, "english", "p_name", ("p_partkey",))
-    return out.select("p_partkey", tagger.joined_tags().alias("line"))
+    return _tagged_documents(spark, sf_dir).select("doc_id", "line_no", tagger.joined_tags().alias("line"))
+
 
+_NAME_POS = _POS_SQL.replace(LINES_SQL, "(SELECT p_partkey AS doc_id, 0 AS line_no, p_name AS line FROM part)")
 
-@query("SELECT surface, CAST(count(*) AS BIGINT) AS entries, sum(n) AS total FROM " + values([(s, n) for s, tags in samples.LEXICON.items() for _, n in tags], "surface", "n") + " GROUP BY surface")
-def q_lexicon_entries(spark, sf_dir):
-    lex = lexicon_frame(spark, samples.LEXICON)
-    return lex.select("surface", F.size("tags").cast("long").alias("entries"), F.aggregate("tags", F.lit(0), lambda a, t: a + t["count"]).alias("total"))
+
+@query(f"SELECT doc_id, word_no, surface, pos FROM ({_NAME_POS})")
+def q_tag_words(spark, sf_dir):
+    """The relational form."""
+    words = segment.Segmenter(samples.POINTWISE, "english").segment(_names(spark, sf_dir).withColumnRenamed("p_partkey", "doc_id"), "p_name")
+    return tagger.tag_words(words, samples.TWO_STAGE, "english", "words", ("doc_id",))
 
 
 # evaluation ----------------------------------------------------------------------------------------------------------
@@ -467,9 +516,27 @@ def q_boosting_round(spark, sf_dir):
     return spark.createDataFrame([(feature, float(rate), 0.5 * math.log((1 - rate) / rate))], "feature string, rate double, alpha double")
 
 
-@query()
+ROUNDS = 24
+
+
+def boosting_sql(rounds: int) -> str:
+    """Rounds of boosting, each a step of the recursion: instance weights in, the best stump and new weights out."""
+    steps = [f"i AS MATERIALIZED (SELECT p_partkey, label, features, CAST(1 AS DOUBLE) AS d FROM {_INSTANCES}), d0 AS MATERIALIZED (SELECT p_partkey, d FROM i)"]
+    for k in range(rounds):
+        steps.append(
+            f"""t{k} AS MATERIALIZED (SELECT sum(d) AS n, sum(d) FILTER (label > 0) AS p FROM i JOIN d{k} x USING (p_partkey) SELECT_D),
+s{k} AS MATERIALIZED (SELECT feature, rate, 0.5 * ln(greatest(1 - rate, 1e-10) / greatest(rate, 1e-10)) AS alpha FROM (
+  SELECT feature, (p - sum(x.d * label)) / n AS rate FROM (SELECT p_partkey, label, unnest(features) AS feature FROM i) JOIN d{k} x USING (p_partkey), t{k} GROUP BY feature, p, n UNION ALL SELECT '', p / n FROM t{k})
+  WHERE (SELECT count(*) FROM t{k}) > 0 ORDER BY round(abs(0.5 - rate), 12) DESC, feature LIMIT 1),
+d{k + 1} AS MATERIALIZED (SELECT p_partkey, CASE WHEN label * CASE WHEN list_contains(features, feature) THEN 1 ELSE -1 END < 0 THEN x.d * exp(alpha) ELSE x.d / exp(alpha) END / n AS d FROM i JOIN d{k} x USING (p_partkey), s{k}, t{k} WHERE abs(0.5 - rate) >= 0.0001)""".replace("sum(d)", "sum(x.d)").replace(" SELECT_D", "")
+        )
+    found = " UNION ALL ".join(f"SELECT feature, alpha FROM s{k} WHERE abs(0.5 - rate) >= 0.0001" for k in range(rounds))
+    return f"WITH {', '.join(steps)} SELECT feature, round(sum(alpha), 6) AS weight FROM ({found}) WHERE feature <> '' GROUP BY feature HAVING round(sum(alpha), 6) <> 0"
+
+
+@query(boosting_sql(ROUNDS))
 def q_boosting_train(spark, sf_dir):
-    return weights_frame(spark, train.train_stumps(_instances(spark, sf_dir), 0.01, 5)).where("weight <> 0")
+    return weights_frame(spark, train.train_stumps(_instances(spark, sf_dir), 0.0001, ROUNDS)).where("weight <> 0").select("feature", F.round("weight", 6).alias("weight"))
 
 
 @query()
@@ -484,8 +551,9 @@ def q_perceptron_mixed(spark, sf_dir):
 
 @query()
 def q_two_stage_train(spark, sf_dir):
-    lines = _inline(samples.TAGGED_CORPUS)(spark, sf_dir)
-    m = train.train_two_stage(lines, "japanese", ("id",), epochs=5)
+    tag = lambda w: F.when(F.length(w) > 4, "NOUN").otherwise("ADJ")
+    names = _names(spark, sf_dir).select("p_partkey", F.array_join(F.transform(T.tokens(F.col("p_name")), lambda w: F.concat(w, F.lit("/"), tag(w))), " ").alias("line"))
+    m = train.train_two_stage(names, "english", ("p_partkey",), epochs=1)
     return spark.createDataFrame([(i, x) for i, x in enumerate(m.dump().split("\n"))], "line_no int, line string")
 
 
@@ -578,15 +646,14 @@ def q_segment_labels(spark, sf_dir):
 
 #: Columns of 32 bits, which SQL's counters make wider.
 _INTEGERS = {
-    "pos": ("q_uw_features", "q_bigram_features", "q_type_features", "q_type_bigrams", "q_type_trigrams", "q_wc_features", "q_score_join", "q_extract_boundary", "q_extract_tag_free", "q_extract_tsv", "q_extract_stage1"),
-    "word_no": ("q_token_offsets", "q_gold_tokens", "q_word_features_fast", "q_word_features_balanced", "q_word_features_full", "q_pos_tags"),
-    "line_no": ("q_lines", "q_segment_pointwise", "q_wiki_filter"),
+    "pos": ("q_uw_features", "q_bigram_features", "q_type_features", "q_type_bigrams", "q_type_trigrams", "q_wc_features", "q_score_join", "q_extract_names", "q_extract_tsv"),
+    "word_no": ("q_token_offsets", "q_tag_words"),
+    "line_no": ("q_lines", "q_segment_pointwise", "q_wiki_filter", "q_extract_boundary", "q_extract_tag_free", "q_extract_stage1", "q_gold_tokens", "q_word_features_fast", "q_word_features_balanced", "q_word_features_full", "q_segment_with_pos"),
     "sent_no": ("q_conllu", "q_conllu_spaced_pos"),
     "sentence_no": ("q_split_sentences",),
     "start": ("q_segment_relational", "q_token_offsets"),
     '"end"': ("q_token_offsets",),
     "n_words": ("q_segment_pointwise",),
-    "total": ("q_lexicon_entries",),
 }
 for _name in {n for names in _INTEGERS.values() for n in names}:
     _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c, names in _INTEGERS.items() if _name in names)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +44,37 @@ def split_sentences(line: Column) -> Column:
     return F.filter(F.transform(parts, clean), lambda s: s != "")
 
 
+_SPECIAL = re.compile(f"[{OPENING}{CLOSING}{ALWAYS}{BEFORE_SPACE}]")
+_BLANKS = " \t\n\x0b\f\r"
+
+
+def sentences_of(line: str) -> list[str]:
+    """split_sentences() of a Python string, linear in its length."""
+    out, depth, begin = [], 0, 0
+    for m in _SPECIAL.finditer(line):
+        c, at = m[0], m.end()
+        if c in OPENING:
+            depth += 1
+        elif c in CLOSING:
+            depth = max(depth - 1, 0)
+        elif not depth and (c in ALWAYS or at == len(line) or line[at] in _BLANKS):
+            out.append(line[begin:at])
+            begin = at
+    return [x for s in (*out, line[begin:]) if (x := s.strip(_BLANKS))]
+
+
 def sentence_rows(lines: DataFrame, line: str, *keys: str) -> DataFrame:
-    """keys, sentence_no, sentence. The form for long lines: windows over character rows, linear in the line's length.
-
-    Depth never falls below 0: it is the running sum of brackets less the least of that sum so far (0 at most)."""
-    each = lines.select(*keys, F.posexplode(chars(F.col(line))).alias("pos", "c"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    move = F.when(F.col("c").isin(list(OPENING)), 1).when(F.col("c").isin(list(CLOSING)), -1).otherwise(0)
-    out = each.withColumn("move", move).withColumn("sum", F.sum("move").over(run)).withColumn("depth", F.col("sum") - F.least(F.min("sum").over(run), F.lit(0)))
-    ends = F.coalesce(F.lead("c").over(w), F.lit(" ")).rlike(r"^\s")
-    cut = (F.col("move") == 0) & (F.col("depth") == 0) & (F.col("c").isin(list(ALWAYS)) | (F.col("c").isin(list(BEFORE_SPACE)) & ends))
-    out = out.withColumn("cut", cut.cast("int")).withColumn("part", F.coalesce(F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "")
-    made = out.groupBy(*keys, "part").agg(F.regexp_replace(text, r"^\s+|\s+$", "").alias("sentence")).where("sentence <> ''")
-    return made.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("part")) - 1).alias("sentence_no"), "sentence")
+    """keys, sentence_no, sentence. The form for long lines: one pass over Arrow batches, linear in a line's length."""
+    source = lines.select(*keys, F.col(line).alias("_line"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([sentences_of(x or "") for x in b.column(len(keys)).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], found], names=[*keys, "_found"])
+
+    each = source.mapInArrow(run, ", ".join(x for x in (kept, "_found array<string>") if x))
+    return each.select(*keys, F.posexplode("_found").alias("sentence_no", "sentence"))
 
 
 def conllu(lines: DataFrame, file: str = "file", line_no: str = "line_no", line: str = "line", pos: bool = False, spaced: bool = False) -> DataFrame:
@@ -91,8 +111,20 @@ def wiki_filter(lines: DataFrame, line: str = "line", limit: int = 0, seed: int
     return out.limit(limit) if limit else out
 
 
-def sample_texts(pages: DataFrame, text: str, n: int, seed: int, *keys: str) -> DataFrame:
-    """n random pages' longest lines: blanks squeezed, ASCII-only lines dropped."""
+def sample_texts(pages: DataFrame, text: str, n: int, seed: int, *keys: str, title: str | None = None) -> DataFrame:
+    """keys, sentence_no, sentence of n random pages' longest lines: blanks squeezed, ASCII-only lines dropped.
+
+    title: a column of titles; pages of lists, of years or dates and of talk or other inner spaces are left out. Pages are
+    drawn by the least hashes of seed and keys, so a draw can be repeated and is one pass with a bounded top n."""
+    if title:
+        pages = pages.where(~F.coalesce(F.col(title), F.lit("")).rlike(r"^\d+|:|(?i)^list of |一覧$|목록$|列表$"))
     each = table_lines(pages, text, *keys).where(F.col("line").rlike(r"[^\x00-\x7F]"))
     longest = each.groupBy(*keys).agg(F.max_by("line", F.struct(F.length("line"), -F.col("line_no"))).alias("line"))
-    return longest.orderBy(F.rand(seed)).limit(n).select(*keys, F.regexp_replace("line", " +", " ").alias("line"))
+    drawn = longest.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))), *keys).limit(n)
+    return sentence_rows(drawn.select(*keys, F.regexp_replace("line", " +", " ").alias("line")), "line", *keys)
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """id and line of text files, lines as they are but for a trailing carriage return; id in the order of lines."""
+    raw = spark.read.text(path, lineSep="\n")
+    return raw.select(F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("line"))

@@ -6,13 +6,16 @@ Models are small (their size is that of a file one driver reads) and become Data
 from __future__ import annotations
 
 import math
+import os
 import re
+import time
 import urllib.request
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wordloom.errors import InvalidArgument, ModelError, ReadError, Unsupported
 from wordloom.functions.text import UPOS
 
 #: First line of a two-stage file; any name before it is read.
@@ -21,10 +24,6 @@ _MAGIC = re.compile(r"[A-Za-z]+-two-stage v1")
 MAX_DOWNLOAD, CONNECT_S, TOTAL_S = 256 << 20, 10, 60
 
 
-class ModelError(ValueError):
-    """A model file that can't be read."""
-
-
 def number_text(x: float) -> str:
     """Shortest plain decimal that reads back as x; whole numbers without a point."""
     from decimal import Decimal
@@ -257,26 +256,49 @@ def parse_model(text: str) -> StumpModel | PerceptronModel | TwoStageModel:
     return {"two-stage": TwoStageModel, "perceptron": PerceptronModel, "stumps": StumpModel}[kind_of(text)].parse(text)
 
 
+def _download(uri: str) -> bytes:
+    """At most MAX_DOWNLOAD bytes within TOTAL_S seconds, as many as the server says."""
+    until = time.monotonic() + TOTAL_S
+    with urllib.request.urlopen(uri, timeout=CONNECT_S) as r:  # noqa: S310
+        said, parts, size = r.headers.get("Content-Length"), [], 0
+        if said and int(said) > MAX_DOWNLOAD:
+            raise ReadError("the download is too large")
+        while part := r.read1(1 << 16):
+            parts.append(part)
+            size += len(part)
+            if size > MAX_DOWNLOAD:
+                raise ReadError("the download is too large")
+            if time.monotonic() > until:
+                raise ReadError(f"the download took more than {TOTAL_S} s")
+    if said and int(said) != size:
+        raise ReadError("the download is cut short")
+    return b"".join(parts)
+
+
 def read_bytes(uri: str, spark: SparkSession | None = None, allow_http: bool = False) -> bytes:
     """A plain path, file://, any file system of Spark's, or (if allowed) http(s)://."""
     scheme = urlparse(uri).scheme
     if scheme in ("http", "https"):
         if not allow_http:
-            raise ValueError("reading models over http isn't allowed here")
-        with urllib.request.urlopen(uri, timeout=CONNECT_S) as r:  # noqa: S310
-            data = r.read(MAX_DOWNLOAD + 1)
-            said = r.headers.get("Content-Length")
-        if len(data) > MAX_DOWNLOAD or said and int(said) != len(data):
-            raise OSError("the download is too large or cut short")
-        return data
+            raise Unsupported("reading models over http isn't allowed here")
+        return _download(uri)
     if scheme in ("", "file"):
         with open(urlparse(uri).path if scheme else uri, "rb") as f:
             return f.read()
     if spark is None:
-        raise ValueError(f"a session is needed to read {scheme}://")
+        raise InvalidArgument(f"a session is needed to read {scheme}://")
     return bytes(spark.read.format("binaryFile").load(uri).select("content").first()[0])
 
 
+def stamp(uri: str) -> object:
+    """What changes when a local file does; None for other places."""
+    path = urlparse(uri).path if urlparse(uri).scheme == "file" else uri
+    if urlparse(uri).scheme not in ("", "file") or not os.path.exists(path):
+        return None
+    found = os.stat(path)
+    return found.st_mtime_ns, found.st_size, found.st_ino
+
+
 def load_model(uri: str, spark: SparkSession | None = None, allow_http: bool = False):
     return parse_model(read_bytes(uri, spark, allow_http).decode())
 
