@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.chartypes import char_type_of, parse_language, type_codes
+from wordloom.functions.chartypes import parse_language, type_codes
 from wordloom.functions.templates import LENGTH_CAP, TYPES_CAP, WORD, WORD_BEGIN, WORD_END
 from wordloom.functions.text import UPOS
 from wordloom.operators.features import with_context, word_features
@@ -53,7 +53,7 @@ class CompiledTagger:
         for c, i in ids.items():
             self.char_id[ord(c)] = i
         self.n_ids = len(ids) + 1
-        codes = type_codes(self.language)
+        codes = self.codes = type_codes(self.language)
         kinds = {c: i for i, c in enumerate(codes)} | {WORD_BEGIN: len(codes), WORD_END: len(codes) + 1}
         self.radix = len(codes)
 
@@ -85,8 +85,8 @@ class CompiledTagger:
         total = np.zeros(len(self.classes))
         candidates = {t for t, _ in self.model.lexicon.get(word, ())} & set(self.classes)
         if tag is None and self.classes:
-            kinds = [char_type_of(c, self.language) for c in word[:TYPES_CAP]]
-            last = char_type_of(word[-1], self.language)
+            kinds = [self.codes[self.stage1.types[ord(c)]] for c in word[:TYPES_CAP]]
+            last = self.codes[self.stage1.types[ord(word[-1])]]
             values = {"WS": word, "WL": str(min(len(word), LENGTH_CAP)), "FC": word[0], "LC": word[-1], "ft": kinds[0], "lt": last, "TS": "".join(kinds)}
             if len(word) > 1:
                 values |= {"P2": word[:2], "S2": word[-2:]}
