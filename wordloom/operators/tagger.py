@@ -11,15 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.chartypes import parse_language, type_codes
 from wordloom.functions.templates import LENGTH_CAP, TYPES_CAP, WORD, WORD_BEGIN, WORD_END
-from wordloom.functions.text import UPOS
-from wordloom.operators.features import with_context, word_features
+from wordloom.functions.text import UPOS, ddl
+from wordloom.operators.features import MARK, WordTexts
 from wordloom.operators.segment import BLOCK, Block, Compiled, masked
-from wordloom.sources.models import TwoStageModel, class_weights_frame
+from wordloom.sources.models import TwoStageModel
 
 #: Surfaces whose scores a worker remembers.
 SURFACES = 1 << 16
@@ -164,30 +164,40 @@ def segment_with_pos(df: DataFrame, model: TwoStageModel, language: str, column:
     return source.mapInArrow(run, schema)
 
 
-def lexicon_table(spark, model: TwoStageModel) -> DataFrame:
-    """(surface, fixed, candidates): the tag that needs no classifier, or the known tags that the classifier has."""
-    rows = [(s, model.fixed(s), sorted(t for t, _ in tags if t in model.stage2.classes)) for s, tags in model.lexicon.items()]
-    return spark.createDataFrame(rows, "surface string, fixed string, candidates array<string>")
-
-
 def tag_words(words: DataFrame, model: TwoStageModel, language: str, column: str = "words", keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, word_no, surface, pos, by joins. A word has its fixed tag, or the best-scoring of its candidates (of all classes
-    where it has none); the first by name of equals; X without classes."""
-    spark, language = words.sparkSession, parse_language(language)
-    rows = with_context(words, language, column, keys).join(F.broadcast(lexicon_table(spark, model)), "surface", "left")  # at most the model file
-    if not model.stage2.classes:
-        return rows.select(*keys, "word_no", "surface", F.coalesce("fixed", F.lit("X")).alias("pos"))
+    """keys, word_no, surface, pos of lines' words, from the features as they are named; without a shuffle, whatever the
+    number of classes. A word has its fixed tag, or the best-scoring of its candidates (of all classes where it has none);
+    the first by name of equals; X without classes."""
     used = [k for k in WORD if any(f.startswith(f"{k}:") for f in model.stage2.weights)]
-    made = F.array_compact(F.array(*(word_features(k) for k in used))) if used else F.array().cast("array<string>")
-    classes = F.array(*map(F.lit, model.stage2.classes))
-    options = F.when(F.col("fixed").isNotNull(), F.array("fixed")).when(F.size(F.coalesce("candidates", F.array())) > 0, F.col("candidates")).otherwise(classes)
-    # A row an option and feature; features of certain words aren't looked up.
-    asked = rows.select(*keys, "word_no", "surface", F.explode(options).alias("class"), F.when(F.col("fixed").isNull(), made).alias("features"))
-    hits = asked.select(*keys, "word_no", "surface", "class", F.explode_outer("features").alias("feature"))
-    scored = hits.join(F.broadcast(class_weights_frame(spark, model.stage2)), ["feature", "class"], "left")  # at most the model file
-    sums = scored.groupBy(*keys, "word_no", "surface", "class").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("score"))
-    best = F.row_number().over(Window.partitionBy(*keys, "word_no").orderBy(F.col("score").desc(), "class"))
-    return sums.withColumn("_rank", best).where("_rank = 1").select(*keys, "word_no", "surface", F.col("class").alias("pos"))
+    texts = WordTexts(language, used, skip_white=False)
+    shared = words.sparkSession.sparkContext.broadcast((model, texts))
+    source = words.select(*keys, F.col(column).alias("_words"))
+    head = ddl(source.schema[: len(keys)]) if keys else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, texts = shared.value
+        classes, weights = sorted(model.stage2.classes), model.stage2.weights
+
+        def said(word: str, text: str) -> str:
+            if (tag := model.fixed(word)) is not None or not classes:
+                return tag or "X"
+            known = {t for t, _ in model.lexicon.get(word, ())}
+            options = [c for c in classes if c in known] or classes
+            found = [own for f in text.split(MARK) if (own := weights.get(f))]
+            return max(options, key=lambda c: sum(own.get(c, 0.0) for own in found))  # the first of equals
+
+        for b in batches:
+            rows, numbers, surfaces, tags = [], [], [], []
+            for i, line in enumerate(b.column(len(keys)).to_pylist()):
+                number, own, features = texts(line or [], line or [], MARK)
+                rows += [i] * len(number)
+                numbers += number
+                surfaces += own
+                tags += map(said, own, features)
+            kept = [b.column(k).take(pa.array(rows, pa.int64())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32()), pa.array(surfaces, pa.string()), pa.array(tags, pa.string())], names=[*keys, "word_no", "surface", "pos"])
+
+    return source.mapInArrow(run, ", ".join(x for x in (head, "word_no int, surface string, pos string") if x))
 
 
 def joined_tags(tokens: str = "tokens"):
