@@ -1,7 +1,9 @@
 """Operators at size: the forms that run whole tables against plain ones, and plans without what grows with the input."""
 
 import hashlib
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
@@ -127,3 +129,40 @@ def test_treebank_edges(spark):
 
 def test_stream_result_isn_t_held_by_the_driver(spark):
     assert "Scan parquet" in plan(spark, "q_stream_word_counts")
+
+
+def plain_perceptron(data, epochs, model=None):
+    """The averaged perceptron as it is defined."""
+    data = [(y, sorted(set(f))) for y, f in data if f]
+    classes = sorted({*(model.classes if model else ()), *(y for y, _ in data)})
+    w = {f: dict(own) for f, own in (model.weights if model else {}).items()}
+    total: dict = {}
+    steps = 0
+    for _ in range(epochs):
+        for y, f in data:
+            guess = max(classes, key=lambda c: sum(w.get(x, {}).get(c, 0.0) for x in f))
+            for x in f if guess != y else ():
+                own = w.setdefault(x, {})
+                own[y], own[guess] = own.get(y, 0.0) + 1, own.get(guess, 0.0) - 1
+            for x in w:
+                for c, v in w[x].items():
+                    total[x, c] = total.get((x, c), 0.0) + v
+            steps += 1
+    return {k: v / steps for k, v in total.items() if v}
+
+
+def test_perceptron_of_streamed_batches(spark):
+    """Batches, repeated features and instances without any; the same weights as the definition, in bounded memory."""
+    rng = random.Random(5)
+    data = [(rng.choice("CAB"), [f"f{rng.randint(0, 12)}" for _ in range(rng.randint(0, 5))]) for _ in range(300)]
+    start = models.PerceptronModel(["A", "Z"], {"f1": {"A": 2.0}, "old": {"Z": 1.0}})
+    for model in (None, start):
+        want = plain_perceptron(data, 3, model)
+        batches = [(pa.array([y for y, _ in part]), pa.array([f for _, f in part], pa.list_(pa.string()))) for part in (data[:7], data[7:7], data[7:200], data[200:])]
+        for m in (train.Perceptron(model).fit_batches(iter(batches), 3), train.Perceptron(model).fit(data, 3)):
+            got = {(f, c): v for f, own in m.weights.items() for c, v in own.items()}
+            assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    rows = spark.createDataFrame([(i, y, f) for i, (y, f) in enumerate(data)], "id int, label string, features array<string>").repartition(6)
+    trained = train.train_perceptron(rows, 3, ("id",))
+    assert "FlatMapGroupsInArrow" not in trained._jdf.queryExecution().executedPlan().toString()
+    assert train.perceptron_of(trained) == train.Perceptron().fit(data, 3)

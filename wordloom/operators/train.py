@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,46 +116,76 @@ class Perceptron:
         self.model = model or PerceptronModel()
 
     def fit(self, instances: list[tuple[str, list[str]]], epochs: int = 10, cancel: threading.Event | None = None) -> PerceptronModel:
-        data = [(label, sorted(set(f))) for label, f in instances if f]
-        classes = sorted({*self.model.classes, *(label for label, _ in data)})
-        index = {c: k for k, c in enumerate(classes)}
-        n = len(classes)
-        w = {f: [own.get(c, 0.0) for c in classes] for f, own in self.model.weights.items()}
-        acc: dict[str, list[float]] = {}
-        last: dict[str, list[int]] = {}
-        step = 0
-
-        def add(f: str, k: int, delta: float) -> None:
-            row = w.setdefault(f, [0.0] * n)
-            a, t = acc.setdefault(f, [0.0] * n), last.setdefault(f, [0] * n)
-            a[k] += row[k] * (step - t[k])
-            t[k] = step
-            row[k] += delta
-
-        stopped = lambda: cancel is not None and cancel.is_set()
-        for _ in range(epochs):
-            for label, features in data:
-                if stopped():
-                    break
-                s = [0.0] * n
-                for f in features:
-                    if row := w.get(f):
-                        s = [x + y for x, y in zip(s, row)]
-                guess, truth = max(range(n), key=lambda k: (s[k], -k)), index[label]
-                if guess != truth:
-                    for f in features:
-                        add(f, truth, 1.0)
-                        add(f, guess, -1.0)
-                step += 1
-        out: dict[str, dict[str, float]] = {}
-        for f, row in w.items():
-            a, t = acc.get(f, [0.0] * n), last.get(f, [0] * n)
-            mean = [(x + y * (step - z)) / max(step, 1) for x, y, z in zip(a, row, t)]
-            out[f] = {c: m for c, m in zip(classes, mean) if m != 0.0}
-        self.model = PerceptronModel(classes, {f: own for f, own in out.items() if own} if data else self.model.weights)
+        labels = pa.array([label for label, _ in instances], pa.string())
+        return self.fit_batches(iter([(labels, pa.array([f for _, f in instances], pa.list_(pa.string())))] if instances else []), epochs, cancel)
+
+    def fit_batches(self, batches: Iterator[tuple[pa.Array, pa.Array]], epochs: int = 10, cancel: threading.Event | None = None) -> PerceptronModel:
+        """Learn from Arrow batches of labels and feature lists, in order. Instances are numbers in a file, read again each
+        epoch; memory holds the model and a block."""
+        ids: dict[str, int] = {f: k for k, f in enumerate(self.model.weights)}
+        names: dict[str, int] = {}
+        with tempfile.TemporaryFile() as spool:
+            blocks = [_spooled(spool, labels, features, ids, names) for labels, features in batches]
+            classes = sorted({*self.model.classes, *names})
+            truth_of = np.array([classes.index(c) for c in names], np.int64)
+            n = len(classes)
+            w, acc, last = np.zeros((len(ids), n)), np.zeros((len(ids), n)), np.zeros((len(ids), n), np.int64)
+            for f, own in self.model.weights.items():
+                w[ids[f]] = [own.get(c, 0.0) for c in classes]
+            step, learned = 0, any(size for size, _ in blocks)
+            stopped = lambda: cancel is not None and cancel.is_set()
+            for _ in range(epochs if learned else 0):
+                spool.seek(0)
+                for size, total in blocks:
+                    truths, lengths, flat = (np.frombuffer(spool.read(4 * m), np.int32) for m in (size, size, total))
+                    if stopped():
+                        continue
+                    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+                    begin = 0
+                    for truth, end in zip(truth_of[truths].tolist(), ends):
+                        if stopped():
+                            break
+                        own = flat[begin:end]
+                        begin = end
+                        guess = int(w.take(own, 0).sum(0).argmax())  # the first of equals
+                        if guess != truth:
+                            for k, delta in ((truth, 1.0), (guess, -1.0)):
+                                acc[own, k] += w[own, k] * (step - last[own, k])
+                                last[own, k] = step
+                                w[own, k] += delta
+                        step += 1
+        if not learned:
+            self.model = PerceptronModel(classes, self.model.weights)
+            return self.model
+        mean = (acc + w * (step - last)) / max(step, 1)
+        out = {f: {c: m for c, m in zip(classes, mean[k].tolist()) if m != 0.0} for f, k in ids.items()}
+        self.model = PerceptronModel(classes, {f: own for f, own in out.items() if own})
         return self.model
 
 
+def _spooled(spool, labels: pa.Array, features: pa.Array, ids: dict[str, int], names: dict[str, int]) -> tuple[int, int]:
+    """Write a batch's instances that have features: numbers of labels, of features each, and of the distinct features in
+    the order of their names. How many instances and numbers."""
+    lengths = features.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    coded = features.flatten().dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    number = np.array([ids.setdefault(f, len(ids)) for f in found], np.int32)
+    order = sorted(range(len(found)), key=found.__getitem__)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    key = np.unique(row * max(len(found), 1) + rank[coded.indices.to_numpy()]) if len(row) else np.zeros(0, np.int64)
+    owner, flat = key // max(len(found), 1), number[np.array(order, np.int64)[key % max(len(found), 1)]] if len(key) else np.zeros(0, np.int32)
+    sizes = np.bincount(owner, minlength=len(lengths)).astype(np.int32)
+    kept = np.flatnonzero(sizes)
+    said = labels.take(pa.array(kept)).dictionary_encode()
+    own = np.array([names.setdefault(c, len(names)) for c in said.dictionary.to_pylist()], np.int32)
+    truths = own[said.indices.to_numpy()] if len(kept) else np.zeros(0, np.int32)
+    for x in (truths, sizes[kept], flat):
+        spool.write(x.astype(np.int32).tobytes())
+    return len(kept), len(flat)
+
+
 def add_instance(instances: DataFrame, label: int, features: list[str]) -> DataFrame:
     """Instances with one more, of weight 1; features that are new are appended to the vocabulary by training."""
     row = instances.sparkSession.createDataFrame([(label, features)], "label int, features array<string>")
@@ -182,19 +216,22 @@ def perceptron_metrics(instances: DataFrame, model: PerceptronModel) -> DataFram
 
 def train_perceptron(instances: DataFrame, epochs: int = 10, order: tuple[str, ...] = (), model: PerceptronModel | None = None, cancel: threading.Event | None = None) -> DataFrame:
     """(feature, class, weight) rows of the averaged perceptron. Learning is sequential by definition: all instances are
-    sorted by ``order`` into one task (use train_perceptron_mixed for corpora beyond one task).
+    sorted by ``order`` into one task, which streams them to a file of numbers (use train_perceptron_mixed to learn in parallel).
 
     cancel, if it is set, ends the learning; what was learned until then is averaged and kept."""
     signal = f"{shared_dir(instances.sparkSession)}/cancel-{uuid.uuid4().hex}" if cancel is not None else None
     if cancel is not None:
         _watch(instances.sparkSession, cancel, signal)
-    rows = instances.select(F.struct(*order).alias("o") if order else F.lit(0).alias("o"), F.col("label").cast("string").alias("label"), "features")
+    kept = instances.select(*(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)), F.col("label").cast("string").alias("label"), "features").repartition(1)
+    rows = (kept.sortWithinPartitions(*(f"_o{k}" for k in range(len(order)))) if order else kept).select("label", "features")
 
-    def fit(t: pa.Table) -> pa.Table:
-        found = sorted(t.to_pylist(), key=lambda r: tuple(r["o"].values()) if order else 0)
-        return _weight_table(Perceptron(model).fit([(r["label"], r["features"]) for r in found], epochs, _Signal(signal) if signal else None))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is not None:
+            pairs = ((b.column(0), b.column(1)) for b in itertools.chain([first], batches))
+            yield from _weight_table(Perceptron(model).fit_batches(pairs, epochs, _Signal(signal) if signal else None)).to_batches()
 
-    return rows.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(fit, "feature string, class string, weight double")
+    return rows.mapInArrow(fit, "feature string, class string, weight double")
 
 
 def _watch(spark, cancel: threading.Event, path: str) -> None:
